@@ -28,8 +28,7 @@ MAX_SET = 100_000
 
 
 def words(text: Column) -> Column:
-    spaced = F.trim(F.regexp_replace(ascii_lower(text), SEPARATOR, " "))
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
+    return F.array_remove(F.split(ascii_lower(text), SEPARATOR), "")
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -43,10 +42,9 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def _found_in(n: int, hashes: list[int]) -> Column:
     """The row's windows of n words whose hash is in the set: array of (n, i, gram)."""
-    gram = lambda i: F.slice(F.col("_w"), i + 1, F.lit(n))
-    places = F.when(F.size("_w") >= n, F.sequence(F.lit(0), F.greatest(F.size("_w") - n, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    places = F.filter(places, lambda i: F.xxhash64(gram(i)).isin(hashes))
-    return F.transform(places, lambda i: F.struct(F.lit(n).alias("n"), i.alias("i"), gram(i).alias("gram")))
+    own = ", ".join(map(str, hashes))
+    found = f"IF(size(_w) < {n}, cast(array() as array<int>), filter(sequence(0, greatest(size(_w) - {n}, 0)), i -> xxhash64(slice(_w, i + 1, {n})) IN ({own})))"
+    return F.expr(f"transform({found}, i -> struct({n} as n, i as i, slice(_w, i + 1, {n}) as gram))")
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_set: int = MAX_SET, text: str = "text") -> DataFrame:

@@ -40,10 +40,15 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     ).distinct()
 
 
+def probe(n: int, hashes: str, at: str = "0") -> str:
+    """SQL for the hash of a window of n words: of its first, middle and last word's hashes."""
+    return "xxhash64(" + ", ".join(f"get({hashes}, {at} + {k})" for k in (0, n // 2, n - 1)) + ")"
+
+
 def _found_in(n: int, hashes: list[int]) -> Column:
     """The row's windows of n words whose hash is in the set: array of (n, i, gram)."""
     own = ", ".join(map(str, hashes))
-    found = f"IF(size(_w) < {n}, cast(array() as array<int>), filter(sequence(0, greatest(size(_w) - {n}, 0)), i -> xxhash64(slice(_w, i + 1, {n})) IN ({own})))"
+    found = f"IF(size(_w) < {n}, cast(array() as array<int>), filter(sequence(0, greatest(size(_w) - {n}, 0)), i -> {probe(n, '_h', 'i')} IN ({own})))"
     return F.expr(f"transform({found}, i -> struct({n} as n, i as i, slice(_w, i + 1, {n}) as gram))")
 
 
@@ -62,8 +67,11 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_set: int =
         found = df.select("doc_id", "_key", "n_words", F.lit(0).alias("_k"), F.lit(None).cast("struct<n:int,i:int,gram:array<string>>").alias("hit"))
     elif total <= max_set:
         parts = []
-        hashes = grams.select("n", F.xxhash64("gram").alias("h")).distinct().collect()  # bounded by max_set
-        for n in sorted(r["n"] for r in sizes):
+        lengths = sorted(r["n"] for r in sizes)
+        by_size = F.expr("CASE n " + " ".join(f"WHEN {n} THEN {probe(n, 'g')}" for n in lengths) + " END")
+        hashes = grams.select("n", F.transform("gram", lambda x: F.xxhash64(x)).alias("g")).select("n", by_size.alias("h")).distinct().collect()  # bounded by max_set
+        df = df.withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
+        for n in lengths:
             parts.append(_found_in(n, [r["h"] for r in hashes if r["n"] == n]))
         df = df.select("doc_id", "_key", "n_words", F.concat(*parts).alias("_hits"))
         found = df.select("doc_id", "_key", "n_words", F.posexplode_outer("_hits").alias("_k", "hit"))

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from .chat import op7_chat_format
 from .decontaminate import OP3_SQL, op3_decontaminate
 from .licenses import OP8_SQL, op8_license_scan
+from .packing import op6_best_fit_packing
 from .quality import OP4_SQL, op4_quality_rules
+from .tokens import op2_token_counts
+from .toxicity import op9_toxicity
 
 QUERIES = {
+    "op2_token_counts": op2_token_counts,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality_rules": op4_quality_rules,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_chat_format": op7_chat_format,
     "op8_license_scan": op8_license_scan,
+    "op9_toxicity": op9_toxicity,
 }
 SQL = {
     "op3_decontaminate": OP3_SQL,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import op7_chat_format
 from .decontaminate import OP3_SQL, op3_decontaminate
 from .licenses import OP8_SQL, op8_license_scan
+from .minhash import op10_near_duplicates
 from .packing import op6_best_fit_packing
 from .quality import OP4_SQL, op4_quality_rules
 from .tokens import op2_token_counts
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_chat_format": op7_chat_format,
     "op8_license_scan": op8_license_scan,
     "op9_toxicity": op9_toxicity,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 SQL = {
     "op3_decontaminate": OP3_SQL,

@@ -1,6 +1,64 @@
-STAGES = []
+"""The corpus pipeline: toxicity, line dedup, near-duplicates, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a
+DataFrame; all but the last return the columns of ``docs``. ``run`` writes each stage as
+Parquet to the shared folder of the cluster (spark.checkpoint.dir) and reads it again, so
+that a lost executor costs no more than the stage it worked on.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.llm import decontaminate, lines, minhash, packing, toxicity
+from quillspark.llm.common import table, with_checkpoint_dir
+
+#: Documents with a score from here on go.
+TOXIC = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.add_scores(docs, model).filter(F.col("score") < TOXIC).select(*docs.columns)
+
+
+def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cleaned = lines.drop_recurring(docs, report=True)
+    return cleaned.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.keep_one(docs).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), remove="documents").select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_recurring_lines),
+    ("near_duplicates", keep_one_of_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("packing", pack_sequences),
+]
+
+#: Scores, signatures and token ids are no SQL: tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with_checkpoint_dir(spark)
+    place = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}-{name}")
+        docs = spark.read.parquet(f"{place}/{k}-{name}")
+    return docs

@@ -5,16 +5,20 @@ from __future__ import annotations
 from .chat import op7_chat_format
 from .decontaminate import OP3_SQL, op3_decontaminate
 from .licenses import OP8_SQL, op8_license_scan
+from .lines import OP1_SQL, op1_line_dedup
 from .minhash import op10_near_duplicates
 from .packing import op6_best_fit_packing
 from .quality import OP4_SQL, op4_quality_rules
+from .suffixes import op5_suffix_dedup
 from .tokens import op2_token_counts
 from .toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality_rules": op4_quality_rules,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_chat_format": op7_chat_format,
     "op8_license_scan": op8_license_scan,
@@ -22,6 +26,7 @@ QUERIES = {
     "op10_near_duplicates": op10_near_duplicates,
 }
 SQL = {
+    "op1_line_dedup": OP1_SQL,
     "op3_decontaminate": OP3_SQL,
     "op4_quality_rules": OP4_SQL,
     "op8_license_scan": OP8_SQL,

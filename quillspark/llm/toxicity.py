@@ -140,7 +140,7 @@ def train(texts: list[str], toxic: list[int], min_contexts: int = 5, rounds: int
         for at in range(0, len(words), CHAIN):
             chains.append(words[at : at + CHAIN])
             golds.append(y[at : at + CHAIN])
-    vocabulary = {w: k for k, w in enumerate({w for c in chains for w in c})}
+    vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for c in chains for w in c))}
     used = [hashed(w) for w in vocabulary]
     word_of = np.repeat(np.arange(len(used)), [len(x) for x in used])
     feature_of = np.fromiter((f for x in used for f in x), np.int64, len(word_of))

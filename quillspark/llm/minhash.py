@@ -11,9 +11,10 @@
    others are compared with it: no bucket is expanded into its pairs.
 4. Links are confirmed on the full sets, recomputed from the texts of the classes in question.
    Union-find and star contraction give components.
-5. Buckets that still span several components hold links that no pivot has shown, if any:
-   their members are compared by signature across components only, in blocks of bounded
-   size, and what may reach the threshold (four standard deviations) is confirmed likewise.
+5. Buckets that still span several components hold links that no pivot has shown, if any.
+   Their members are compared across components only, in blocks of bounded bytes: signatures
+   leave what may reach the threshold (four standard deviations), the full sets decide, and
+   components that have met are not compared again.
 
 Defined results: null texts, texts without words: empty set, size 0, linked with nothing;
 null ids: likewise linked with nothing and kept; rows with one id are one document and share
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from .common import saved, table
-from .components import components
+from .components import UnionFind, components
 
 SLOTS, BAND = 128, 4
 WORDS = 5
@@ -42,8 +43,8 @@ PERCENT = 75
 MAY_REACH = 0.60
 #: Ids are broadcast up to this number (8 MB), else joined by shuffle.
 MAX_BROADCAST_IDS = 500_000
-#: Members of a bucket that one task compares.
-BLOCK = 4_000
+#: Bytes of sets and signatures on each side of a block that one task compares.
+BLOCK_BYTES = 24_000_000
 CHUNK = 2_000_000
 
 _U = np.uint64
@@ -133,7 +134,7 @@ def superminhash(doc: np.ndarray, h: np.ndarray, n_docs: int, slots: int = SLOTS
     for level in range(slots):
         if not len(elem):
             break
-        r = mix(elem + _U(level * 2 + 1) * _U(0x9E3779B97F4A7C15))
+        r = mix(elem + _U((2 * level + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
         value = (r >> _U(16)) | (_U(level) << _U(48))
         other = level + ((r & _U(0xFFFF)) * _U(slots - level) >> _U(16)).astype(np.int64)
         if level == 0:
@@ -179,7 +180,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = []
         for salt in (1, 2):
             total = np.zeros(len(ids), np.uint64)
-            np.add.at(total, doc, mix(h + _U(salt) * _U(0xA24BAED4963EE407)))
+            np.add.at(total, doc, mix(h + _U(salt * 0xA24BAED4963EE407 & (2**64 - 1))))
             sums.append(total.view(np.int64))
         sig = superminhash(doc, h, len(ids))
         yield pa.RecordBatch.from_arrays(
@@ -218,33 +219,90 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
 def verified(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """The pairs (src, dst) whose full sets are similar enough; ``pairs`` must be saved or cheap."""
     ids = saved(pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct())
-    needed = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
-    chosen = docs.select(F.col("doc_id").cast("long").alias("id"), text).join(needed, "id", "left_semi")
-    sets = saved(chosen.mapInArrow(_sets, "id long, shingles binary"))
+    sets = saved(shingles_of(docs, ids, text))
     left, right = sets.select(F.col("id").alias("src"), F.col("shingles").alias("a")), sets.select(F.col("id").alias("dst"), F.col("shingles").alias("b"))
     return pairs.join(left, "src").join(right, "dst").filter(_alike("a", "b")).select("src", "dst").distinct()
 
 
-def _across(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block's members of different components whose signatures may mean enough similarity."""
-    sig = np.stack([np.frombuffer(s, "<u2") for s in rows["sig"]])
-    rep, comp, side = rows["rep"].to_numpy(), rows["comp"].to_numpy(), rows["side"].to_numpy()
-    n = rows["n_shingles"].to_numpy()
-    need = int(MAY_REACH * SLOTS)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for k in range(len(rows)):
-        mask = comp != comp[k]
-        mask &= (side != side[k]) if side.max() != side.min() else (rep > rep[k])
-        mask &= (100 * n >= PERCENT * n[k]) & (PERCENT * n <= 100 * n[k])
-        if side[k] != side.min():
+def _links_across(sig: np.ndarray, sets: list[np.ndarray], rep: list[int], comp: list[int], side: np.ndarray) -> list[tuple[int, int]]:
+    """Links between members of different components of one block (of its two sides, if it has two).
+
+    Signatures choose the candidates, full sets decide; a pair whose components have met is not looked at again.
+    """
+    groups = UnionFind()
+    n = np.array([len(x) for x in sets])
+    need, two = int(MAY_REACH * SLOTS), side.min() != side.max()
+    links = []
+    for k in range(len(rep)):
+        if two and side[k]:
             continue
+        mask = (100 * n >= PERCENT * n[k]) & (PERCENT * n <= 100 * n[k])
+        mask &= side == 1 if two else np.arange(len(rep)) > k
         own = np.flatnonzero(mask)
         own = own[(sig[own] == sig[k]).sum(axis=1) >= need]
-        if len(own):
-            found.append((np.minimum(rep[own], rep[k]), np.maximum(rep[own], rep[k])))
-    if not found:
-        return pd.DataFrame({"src": np.zeros(0, np.int64), "dst": np.zeros(0, np.int64)})
-    return pd.DataFrame({"src": np.concatenate([a for a, _ in found]), "dst": np.concatenate([b for _, b in found])}).drop_duplicates()
+        mine = groups.find(comp[k])
+        own = np.array([j for j in own.tolist() if groups.find(comp[j]) != mine], dtype=np.int64)
+        if not len(own):
+            continue
+        theirs = np.concatenate([sets[j] for j in own.tolist()])
+        at = np.searchsorted(sets[k], theirs)
+        hit = sets[k][np.minimum(at, len(sets[k]) - 1)] == theirs
+        shared = np.add.reduceat(hit.astype(np.int64), np.concatenate(([0], np.cumsum(n[own])[:-1])))
+        for j in own[100 * shared >= PERCENT * (n[k] + n[own] - shared)].tolist():
+            if groups.union(comp[k], comp[j]):
+                links.append((min(rep[k], rep[j]), max(rep[k], rep[j])))
+    return links
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each block; rows come sorted by block (coarse, i, j)."""
+    rows: list[tuple] = []
+    out: list[tuple[int, int]] = []
+
+    def close() -> None:
+        if len(rows) > 1:
+            sig = np.stack([np.frombuffer(r[4], "<u2") for r in rows])
+            sets = [np.frombuffer(r[5], np.uint64) for r in rows]
+            out.extend(_links_across(sig, sets, [r[1] for r in rows], [r[2] for r in rows], np.array([r[3] for r in rows])))
+        rows.clear()
+
+    for batch in batches:
+        keys = zip(*(batch.column(c).to_pylist() for c in ("coarse", "i", "j")), strict=True)
+        values = zip(*(batch.column(c).to_pylist() for c in ("rep", "comp", "side", "sig", "shingles")), strict=True)
+        for key, value in zip(keys, values, strict=True):
+            if rows and rows[0][0] != key:
+                close()
+            rows.append((key, *value))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["src", "dst"])
+        out.clear()
+    close()
+    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["src", "dst"])
+
+
+def shingles_of(docs: DataFrame, ids: DataFrame, text: str) -> DataFrame:
+    """(id, shingles) of the documents that a saved table of ids names."""
+    needed = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+    return docs.select(F.col("doc_id").cast("long").alias("id"), text).join(needed, "id", "left_semi").mapInArrow(_sets, "id long, shingles binary")
+
+
+def links_of_rest(rest: DataFrame, classes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """Links between components that meet in a bucket: ``rest`` has (key, rep, comp) of such buckets.
+
+    Buckets that share a member are taken together, so that a set travels once. What is
+    taken together is cut into parts of bounded bytes, and every two parts meet in one task.
+    """
+    least = rest.groupBy("key").agg(F.min("rep").alias("dst"))
+    coarse = components(rest.join(least, "key").select(F.col("rep").alias("src"), "dst").filter("src <> dst").distinct())
+    reps = rest.select("rep", "comp").distinct().join(coarse.select(F.col("node").alias("rep"), F.col("component").alias("coarse")), "rep")
+    reps = saved(reps.join(classes.select("rep", "sig", "n_shingles"), "rep"))
+    sets = shingles_of(docs, saved(reps.select(F.col("rep").alias("id")).distinct()), text)
+    sizes = reps.groupBy("coarse").agg(F.ceil(F.sum(F.col("n_shingles") * 8 + 2 * SLOTS) / BLOCK_BYTES).cast("int").alias("nb"))
+    dealt = reps.join(sizes, "coarse").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb").cast("long")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
+    i, j = F.least("own", "other"), F.greatest("own", "other")
+    dealt = dealt.select("coarse", i.alias("i"), j.alias("j"), "rep", "comp", F.when(F.col("own") == i, 0).otherwise(1).alias("side"), "sig")
+    dealt = dealt.join(sets.withColumnRenamed("id", "rep"), "rep")
+    return dealt.repartition("coarse", "i", "j").sortWithinPartitions("coarse", "i", "j", "rep").mapInArrow(_blocks, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -268,19 +326,11 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         comps = components(links)
         known = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
         split = known.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key")
-        rest = saved(known.join(split, "key").select("key", "rep", "comp", "c"))
+        rest = saved(known.join(split, "key").select("key", "rep", "comp"))
         if not rest.isEmpty():
-            blocks = F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")
-            own = F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int")
-            # every two blocks of a bucket meet once; a bucket of one block meets itself
-            dealt = rest.withColumn("nb", blocks).withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
-            dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp", F.when(F.col("own") == F.least("own", "other"), 0).otherwise(1).alias("side"))
-            dealt = dealt.join(classes.select("rep", "sig", "n_shingles"), "rep")
-            more = dealt.groupBy("key", "i", "j").applyInPandas(_across, "src long, dst long").distinct()
-            more = saved(more.join(pairs, ["src", "dst"], "left_anti"))
+            more = saved(links_of_rest(rest, classes, docs, text))
             if not more.isEmpty():
-                links = links.unionByName(verified(more, docs, text))
-                comps = components(links)
+                comps = components(links.unionByName(more))
         found = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     else:
         found = classes.select("h1", "h2", "n_shingles", F.col("rep").alias("component"))

@@ -1,6 +1,9 @@
-"""All registered queries and their SQL, by name."""
+"""All registered queries of the engine's own operators and their SQL, by name."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from quillspark.plans import audit, curation, evaluation, graphs, history, scanning
+
+PARTS = (scanning, evaluation, curation, audit, graphs, history)
+QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+SQL = {name: sql for part in PARTS for name, sql in part.SQL.items()}

@@ -6,7 +6,8 @@ their counts add up: ``count[0] = 0; count[k] = count[k - 1] + tokens(piece k)``
 table of prefixes answers "how many tokens do the first n characters have" and "how far
 does a budget reach" without encoding the text again; inside a piece, one short encoding of
 the piece's own prefix closes the gap. Pieces recur, so that each worker keeps a bounded
-cache of them. A text whose white space is anything else (several blanks in a row, tabs,
+cache of them; for byte-level vocabularies, words of letters go through the merges many at a
+time, the marks behind them apart. A text whose white space is anything else (several blanks in a row, tabs,
 control characters) is encoded whole and has a single step.
 
 Defined results: null texts are empty and have no tokens; texts of any length are counted
@@ -27,10 +28,27 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-CACHED_PIECES = 400_000
+CACHED_PIECES = 800_000
 CHUNK_CHARS = 4_000_000
-#: White space of any kind but the lone blank or line feed that parts two pieces.
-ODD = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|[ \n][ \n]|^[ \n]|[ \n]$")
+#: White space other than blanks and line feeds.
+OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+#: Letters, then marks: two units of their own for a byte-level vocabulary, whatever surrounds them.
+LETTERS = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]*)")
+WORDS_AT_ONCE = 1_000
+
+
+def odd(text: str) -> bool:
+    """White space of any kind but the lone blank or line feed that parts two pieces."""
+    return (
+        text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or OTHER_SPACE.search(text) is not None
+    )
+
+
+def byte_letters() -> dict[str, str]:
+    """The printable stand-in of each byte in byte-level vocabularies (given as Latin-1)."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): chr(b) for b in plain} | {chr(b): chr(256 + k) for k, b in enumerate(others)}
 
 
 def vocabulary_path(name: str, path: str | None = None) -> str:
@@ -43,19 +61,26 @@ def vocabulary_path(name: str, path: str | None = None) -> str:
 
 
 class PieceEncoder:
-    """Encodes texts piece by piece with a cache; ``mark`` says whether a blank belongs to the piece after it."""
+    """Encodes texts piece by piece with a cache; ``blank_leads``: byte-level, a blank belongs to the piece after it."""
 
     def __init__(self, path: str, blank_leads: bool):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.blank_leads = blank_leads
         self.cache: dict[str, bytes] = {}
+        self.stand_in = None
+        if blank_leads:  # the same merges for words whose bytes are mapped already
+            self.words = Tokenizer.from_file(path)
+            feed = byte_letters()["\n"]
+            self.words.normalizer, self.words.pre_tokenizer = None, pre_tokenizers.Split(feed, "merged_with_previous")
+            # no merge joins a letter and a line feed, so that each word ends with a line feed's id
+            self.stand_in, self.feed, self.feed_id = str.maketrans(byte_letters()), feed, self.words.token_to_id(feed)
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
@@ -65,26 +90,53 @@ class PieceEncoder:
         """The pieces whose ids, joined, are the text's."""
         if not text:
             return []
-        if ODD.search(text):
+        if odd(text):
             return [text]
         if not self.blank_leads:
             return text.split()
         # the blank leads its piece, a line feed is a piece of its own
         return text.replace("\n", "\x1f\n\x1f").replace(" ", "\x1f ").split("\x1f")
 
-    def learn(self, pieces: list[str]) -> None:
-        new = list(set(pieces).difference(self.cache))
-        if new:
-            if len(self.cache) + len(new) > CACHED_PIECES:
-                self.cache.clear()
-                new = list(set(pieces))
-            self.cache.update(zip(new, self.encode_many(new), strict=True))
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, many in one call."""
+        mapped = "\n".join(words).encode().decode("latin-1").translate(self.stand_in).split(self.feed)
+        parts = [mapped[k : k + WORDS_AT_ONCE] for k in range(0, len(mapped), WORDS_AT_ONCE)]
+        out: list[bytes] = []
+        for part, e in zip(parts, self.words.encode_batch_fast([self.feed.join(x) for x in parts], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, dtype="<u4")
+            ends = [*np.flatnonzero(ids == self.feed_id).tolist(), len(ids)]
+            assert len(ends) == len(part)
+            data, at = ids.tobytes(), 0
+            for end in ends:
+                out.append(data[4 * at : 4 * end])
+                at = end + 1
+        return out
+
+    def learn(self, pieces: set[str]) -> None:
+        cache = self.cache
+        new = pieces.difference(cache)
+        if not new:
+            return
+        if len(cache) + 2 * len(new) > CACHED_PIECES:
+            cache.clear()
+            new = pieces
+        if self.stand_in is not None:
+            match = LETTERS.fullmatch
+            split = [(p, *m.groups()) for p in new if (m := match(p))]
+            words = list({w for _, w, _ in split}.difference(cache))
+            cache.update(zip(words, self._encode_words(words) if words else [], strict=True))
+            marks = list({x for _, _, x in split}.difference(("",)).difference(cache))
+            cache.update(zip(marks, self.encode_many(marks) if marks else [], strict=True))
+            cache.update([(p, cache[w] + cache[x]) for p, w, x in split if x])
+            new = new.difference(cache)
+        rest = list(new)
+        cache.update(zip(rest, self.encode_many(rest) if rest else [], strict=True))
 
     def ids(self, text: str) -> bytes:
         own = self.pieces(text)
         if len(own) == 1:
             return self.encode_many(own)[0]
-        self.learn(own)
+        self.learn(set(own))
         return b"".join(map(self.cache.__getitem__, own))
 
 
@@ -100,7 +152,7 @@ def batched(texts: list[str], enc: PieceEncoder) -> Iterator[tuple[int, list[str
         chunk.append((k, enc.pieces(text)))
         size += len(text)
         if size >= CHUNK_CHARS or k == len(texts) - 1:
-            enc.learn([p for _, own in chunk if len(own) != 1 for p in own])
+            enc.learn(set().union(*[own for _, own in chunk if len(own) != 1]))
             yield from chunk
             chunk, size = [], 0
 
@@ -112,7 +164,7 @@ class PrefixCounts:
         self.text, self.enc = text, enc
         own = enc.pieces(text) if pieces is None else pieces
         if pieces is None and len(own) != 1:
-            enc.learn(own)
+            enc.learn(set(own))
         if len(own) == 1:
             sizes = [len(enc.encode_many(own)[0]) >> 2]
         else:

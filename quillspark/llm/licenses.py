@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import table, text_or_empty
 
 #: Sentences without any of these words are no licence sentences.
-MENTIONS = "licen[sc]e|copyright|spdx|warrant|redistribut|all rights reserved|public domain|permission is hereby|liab"
+MENTIONS = "licen[sc]e|copyright|spdx|warrant|redistribut|all rights reserved|public domain|permission is hereby|neither the name of|liab"
 
 #: Fixed values: (identifier, pattern of a normalised sentence); the first match counts.
 SENTENCES = (

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -66,11 +67,16 @@ def test_lines_keep_chance_neighbours(spark):
 # 2 ------------------------------------------------------------------------------------
 
 
-def direct(name, text):
+@lru_cache(maxsize=4)
+def library(name):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(public_tokenizers.path(name)).encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
+def direct(name, text):
+    return library(name).encode(text or "", add_special_tokens=False).ids
 
 
 def test_token_counts(odd, none):

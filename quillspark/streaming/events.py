@@ -47,6 +47,6 @@ def label_conflicts(rows: DataFrame, key: str = "key", label: str = "label") ->
             state.update((first,))
         yield pd.DataFrame(out, columns=["key", "first", "other"])
 
-    return rows.select(F.col(key).alias("key"), F.col(label).alias(label)).groupBy("key").applyInPandasWithState(
+    return rows.select(F.col(key).cast("string").alias("key"), F.col(label).cast("string").alias(label)).groupBy("key").applyInPandasWithState(
         check, "key string, first string, other string", "first string", "append", "NoTimeout"
     )

@@ -39,11 +39,13 @@ TOKEN = re.compile(r"[^\W_]+")
 BITS = 18
 PREFIXES = (3, 4, 5, 6)
 #: Bounds of the training sample: toxic documents and their characters; of clean ones CLEAN times as many.
-MAX_DOCS = 1_500
-MAX_CHARS = 3_000_000
+MAX_DOCS = 900
+MAX_CHARS = 1_500_000
 CLEAN = 3
 CHAIN = 256
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
+#: Characters whose tokens are held at once when scoring.
+CHUNK_CHARS = 2_000_000
 
 
 def features(word: str) -> list[str]:
@@ -119,8 +121,8 @@ class Model:
     layer: np.ndarray | None
     base: float = 0.0
 
-    def emission(self, word: str) -> float:
-        return float(self.weights[list(hashed(word))].sum())
+    def emission(self, word: str, places=hashed) -> float:
+        return float(self.weights[list(places(word))].sum())
 
 
 def evidence(margin: np.ndarray, real: np.ndarray) -> np.ndarray:
@@ -186,6 +188,8 @@ def train(texts: list[str], toxic: list[int], min_contexts: int = 5, rounds: int
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.99 * v[k] + 0.01 * g * g
             x += 0.3 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-4)
+    hashed.cache_clear()  # the driver's memory is that of the sample, not of its words
+    del used, word_of, feature_of, blocks, chains, golds
     model = Model(weights, trans, None)
     x = np.concatenate([evidence_of(model, part) for part in (docs[k : k + 256] for k in range(0, len(docs), 256))])
     y = np.asarray(toxic, float)
@@ -206,7 +210,7 @@ def margins(model: Model, docs: list[list[str]], look: dict[str, float] | None =
     at = 0
     while at < len(order):
         end = at + 1
-        while end < len(order) and end - at < 512 and (len(docs[order[end]]) + 1) * (end - at + 1) < 2_000_000:
+        while end < len(order) and end - at < 512 and (len(docs[order[end]]) + 1) * (end - at + 1) < 500_000:
             end += 1
         own = order[at:end]
         at = end
@@ -219,7 +223,7 @@ def margins(model: Model, docs: list[list[str]], look: dict[str, float] | None =
                 cache.clear()
                 new = list(set(words))
             for w in new:
-                cache[w] = model.emission(w)
+                cache[w] = model.emission(w, hashed.__wrapped__)
             e[row, : len(words)] = np.fromiter(map(cache.__getitem__, words), float, len(words))
             real[row, : len(words)] = True
         f, b = forward_backward(e, model.trans, real)
@@ -290,8 +294,17 @@ def add_scores(docs: DataFrame, model: Model, text: str = "text", spans: bool =
         look = _looks[key]
         for series in texts:
             values = [x or "" for x in series.tolist()]
-            scores, found = score(shared.value, values, look, spans)
-            out = pd.DataFrame({"score": scores})
+            scores, found, at = [], [], 0
+            while at < len(values):  # as many texts at once as their tokens fit
+                end, size = at, 0
+                while end < len(values) and (end == at or size + len(values[end]) <= CHUNK_CHARS):
+                    size += len(values[end])
+                    end += 1
+                part, own = score(shared.value, values[at:end], look, spans)
+                scores.append(part)
+                found += own
+                at = end
+            out = pd.DataFrame({"score": np.concatenate(scores) if scores else np.zeros(0)})
             if spans:
                 out["toxic_spans"] = [[{"start": a, "end": b} for a, b in x] for x in found]
             yield out

@@ -10,8 +10,10 @@ fields generalise on the way in two steps:
   (DEEPER leading tokens) and try again there; what is left is a template of its own.
 
 A template that occurs in at least ``min_documents`` documents recurs. Its first line
-(smallest document, then place) stays, all others are dropped. Lines of fewer than
-``min_tokens`` tokens are left alone: equal short lines happen by chance.
+(smallest document, then place) stays, all others are dropped. A line of at least
+LONG_TOKENS tokens recurs by itself in ``long_documents`` documents: equal long lines don't
+happen by chance. Lines of fewer than ``min_tokens`` tokens are left alone: equal short
+lines do.
 
 Hot templates are no hot tasks: occurrences are reduced to (template, document) and counted
 with partial aggregates before any shuffle by template; texts are never shuffled by line.
@@ -34,6 +36,8 @@ DEPTH, DEEPER = 3, 6
 MIN_DOCUMENTS = 3
 MIN_TOKENS = 4
 SIMILARITY = 0.7
+#: Lines of so many tokens recur in fewer documents, as they stand.
+LONG_TOKENS, LONG_DOCUMENTS = 50, 2
 
 
 #: Documents whose lines are looked up again are broadcast (as id, hash and places) up to this number.
@@ -74,11 +78,26 @@ def _templates(found: DataFrame, depth: int, similarity: float) -> DataFrame:
     return joined.filter(near).select("own", F.xxhash64(F.lit(-depth), "most").alias("template"))
 
 
-def recurring(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
-    """_id, _key and dropped (places, sorted) of each document with lines to drop."""
+def _kept(named: DataFrame, min_documents: int) -> DataFrame:
+    """template and kept (its first line) of the templates in enough documents."""
+    counts = named.groupBy("template", "_id", "_key").agg(F.min("place").alias("place")).groupBy("template").agg(
+        F.count("*").alias("docs"), F.min(F.struct("_id", "_key", "place")).alias("kept")
+    )
+    return counts.filter(F.col("docs") >= min_documents).select("template", "kept")
+
+
+def _hits(named: DataFrame, min_documents: int) -> DataFrame:
+    return named.join(_kept(named, min_documents), "template")
+
+
+def recurring(
+    docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY, text: str = "text", long_documents: int | None = LONG_DOCUMENTS
+) -> DataFrame:
+    """_id, _key, own and keep_first of each line that recurs; without ``long_documents``, long lines are like others."""
     every = lines(docs, min_tokens, text)
     # own: the masked line's hash; a document counts once for each of its lines, at its first place
-    once = every.groupBy(F.xxhash64("n", "line").alias("own"), _leaf(DEPTH).alias("leaf"), "_id", "_key").agg(F.min("place").alias("place"), F.count("*").alias("times"))
+    is_long = [] if long_documents is None else [(F.col("n") >= LONG_TOKENS).alias("long")]
+    once = every.groupBy(F.xxhash64("n", "line").alias("own"), _leaf(DEPTH).alias("leaf"), *is_long, "_id", "_key").agg(F.min("place").alias("place"), F.count("*").alias("times"))
     once = saved(once)
     leaves = once.groupBy("leaf").agg(F.count("*").alias("c"), F.min("own").alias("a"), F.max("own").alias("b"))
     mixed = leaves.filter((F.col("c") >= min_documents) & (F.col("a") != F.col("b"))).select("leaf")
@@ -99,19 +118,21 @@ def recurring(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_tokens: i
     second = _templates(said.join(first, "own", "left_anti"), DEEPER, similarity)
     merged = first.unionByName(second)
     named = once.join(merged, "own", "left").withColumn("template", F.coalesce("template", "own"))
-    counts = named.groupBy("template", "_id", "_key").agg(F.min("place").alias("place")).groupBy("template").agg(
-        F.count("*").alias("docs"), F.min(F.struct("_id", "_key", "place")).alias("kept")
-    )
-    counts = counts.filter(F.col("docs") >= min_documents).select("template", "kept")
-    hit = named.join(counts, "template")
+    hit = _hits(named, min_documents)
+    if long_documents is not None and long_documents < min_documents:
+        # what no template took, line by line
+        alone = named.filter("long").join(_kept(named, min_documents), "template", "left_anti").withColumn("template", F.col("own"))
+        hit = hit.unionByName(_hits(alone, long_documents))
     is_kept = F.col("kept._id").eqNullSafe(F.col("_id")) & (F.col("kept._key") == F.col("_key")) & (F.col("kept.place") == F.col("place"))
     # the first line stays; where a document repeats the line, its later places go as well
     return hit.filter(~is_kept | (F.col("times") > 1)).select("_id", "_key", "own", is_kept.alias("keep_first"))
 
 
-def drop_recurring(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY, text: str = "text", report: bool = False) -> DataFrame:
+def drop_recurring(
+    docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY, text: str = "text", report: bool = False, long_documents: int | None = LONG_DOCUMENTS
+) -> DataFrame:
     """``docs`` without the recurring lines; with ``report``, n_lines and n_dropped (long) are added."""
-    gone = recurring(docs, min_documents, min_tokens, similarity, text)
+    gone = recurring(docs, min_documents, min_tokens, similarity, text, long_documents)
     gone = gone.groupBy("_id", "_key").agg(
         F.collect_set(F.when(~F.col("keep_first"), F.col("own"))).alias("_all"), F.collect_set(F.when(F.col("keep_first"), F.col("own"))).alias("_later")
     )
@@ -141,7 +162,7 @@ def _count_tokens(line: Column) -> Column:
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = drop_recurring(docs, report=True)
+    out = drop_recurring(docs, report=True, long_documents=None)  # as OP1_SQL, which counts three documents for long lines too
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

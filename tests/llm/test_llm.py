@@ -64,6 +64,20 @@ def test_lines_keep_chance_neighbours(spark):
     assert {r.text for r in lines.drop_recurring(df).collect()} == {t for _, t in rows}
 
 
+def test_long_lines_recur_in_two_documents(spark):
+    import corpus_pipeline
+
+    passage = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    near = passage.replace("wordka", "other").replace("wordma", "another")  # joins the passage's template in a third document
+    once = " ".join(f"alone{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    rows = [(1, f"{passage}\nfirst"), (2, f"second\n{passage}\n{passage}"), (3, f"short line in two\n{once}\n{once}"), (4, "short line in two\nrest")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.drop_recurring_lines(spark, df, "").collect()}
+    assert {i: r.text for i, r in got.items()} == dict(rows) | {2: "second"} and got[2].n_chars == 6
+    more = df.unionByName(df.filter("doc_id = 1").withColumn("doc_id", F.lit(5).cast("long")).withColumn("text", F.lit(near)))
+    assert {r.doc_id: r.text for r in lines.drop_recurring(more).collect()} == dict(rows) | {2: "second", 5: ""}
+
+
 # 2 ------------------------------------------------------------------------------------
 
 

@@ -78,3 +78,21 @@ def without_file(nodes: DataFrame, edges: DataFrame, graph: str) -> tuple[DataFr
     e = edges.join(files, graph).filter("src <> left_out AND dst <> left_out")
     alive = e.select(graph, "left_out", F.explode(F.array("src", "dst")).alias("node_id")).distinct()
     return nodes.join(alive, [graph, "node_id"]), e
+
+
+def ablation(nodes: DataFrame, edges: DataFrame, graph: str) -> DataFrame:
+    """For each file of each graph, what is left without it: graph, left_out, n_nodes, n_edges.
+
+    The sizes of ``without_file`` without its rows: the graph's totals less the file's own edges,
+    the file, and the nodes that have edges with nothing but the file.
+    """
+    other = F.when(F.col("node_id") == F.col("src"), F.col("dst")).otherwise(F.col("src"))
+    ends = edges.select(graph, "src", "dst", F.explode(F.array_distinct(F.array("src", "dst"))).alias("node_id")).withColumn("other", other)
+    ends = ends.groupBy(graph, "node_id").agg(F.count("*").alias("own"), F.min("other").alias("a"), F.max("other").alias("b"))
+    known = nodes.join(ends, [graph, "node_id"])
+    lost = known.filter("a = b AND a <> node_id").groupBy(graph, F.col("a").alias("left_out")).agg(F.count("*").alias("lost"))
+    totals = known.groupBy(graph).agg(F.count("*").alias("all_nodes")).join(edges.groupBy(graph).agg(F.count("*").alias("all_edges")), graph)
+    files = nodes.filter("type = 'file'").join(ends, [graph, "node_id"], "left").select(graph, F.col("node_id").alias("left_out"), F.coalesce("own", F.lit(0)).alias("own"))
+    df = files.join(lost, [graph, "left_out"], "left").join(totals, graph)
+    left = F.col("all_nodes") - F.coalesce("lost", F.lit(0)) - F.when(F.col("own") > 0, 1).otherwise(0)
+    return df.select(graph, "left_out", left.alias("n_nodes"), (F.col("all_edges") - F.col("own")).alias("n_edges"))

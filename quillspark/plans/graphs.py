@@ -21,8 +21,9 @@ def nodes(s, d):
 
 
 def files(s, d):
-    df = table(s, d, "documents").select("source", F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.col("doc_id").alias("seq"), "lang")
-    body = F.concat(F.lit("import os\nfrom m"), (F.col("seq") % 7).cast("string"), F.lit(" import x\ndef f"), (F.col("seq") % 5).cast("string"), F.lit("(a):\n    return "), F.when(F.col("seq") % 3 == 0, "eval(a)").otherwise("a"))
+    """The documents as files, with code appended to each."""
+    df = table(s, d, "documents").select("source", F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.col("doc_id").alias("seq"), "lang", "text")
+    body = F.concat(F.coalesce("text", F.lit("")), F.lit("\nimport os\nfrom m"), (F.col("seq") % 7).cast("string"), F.lit(" import x\ndef f"), (F.col("seq") % 5).cast("string"), F.lit("(a):\n    return "), F.when(F.col("seq") % 3 == 0, "eval(a)").otherwise("a"))
     return gr.extract(df.withColumn("text", body))
 
 
@@ -33,8 +34,7 @@ def _build(s, d):
 
 def _ablation(s, d):
     n, e = gr.build(files(s, d).filter("seq % 40 = 0"), "source", "path")
-    left, edges = gr.without_file(n, e, "source")
-    return edges.groupBy("source", "left_out").agg(F.count("*").alias("n_edges"))
+    return gr.ablation(n, e, "source").filter("n_edges > 0").select("source", "left_out", "n_edges")
 
 
 QUERIES = {

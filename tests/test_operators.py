@@ -219,3 +219,25 @@ def test_streams(spark, tmp_path):
     many = src.groupBy("user_id").agg(F.count_distinct("event_type").alias("k")).filter("k > 1").count()
     assert spark.sql("SELECT count(DISTINCT key) AS n FROM conflicts").first().n == many
     assert events.sessions(src, "user_id", "ts", "8 hours").agg(F.sum("n")).first()[0] == src.count()
+
+
+def test_ablation_is_what_without_file_leaves(spark):
+    from quillspark.operators import graph
+
+    nodes = [(g, i, t, i) for g, i, t in [("g", "a", "file"), ("g", "b", "file"), ("g", "c", "file"), ("g", "p", "package"), ("g", "x", "dependency"), ("g", "y", "dependency"), ("g", "idle", "file"), ("h", "a", "file"), ("h", "x", "dependency")]]
+    edges = [("g", "p", "a", "contains"), ("g", "p", "b", "contains"), ("g", "a", "x", "imports"), ("g", "a", "x", "calls"), ("g", "b", "y", "imports"), ("g", "a", "y", "imports"), ("g", "a", "b", "imports"), ("g", "c", "c", "calls"), ("g", "c", "gone", "calls"), ("h", "a", "x", "imports")]
+    n, e = spark.createDataFrame(nodes, "g string, node_id string, type string, name string"), spark.createDataFrame(edges, "g string, src string, dst string, type string")
+    left, kept = graph.without_file(n, e, "g")
+    count = lambda df: {(r.g, r.left_out): r["count"] for r in df.groupBy("g", "left_out").count().collect()}
+    want_nodes, want_edges = count(left), count(kept)
+    got = {(r.g, r.left_out): (r.n_nodes, r.n_edges) for r in graph.ablation(n, e, "g").collect()}
+    assert got == {k: (want_nodes.get(k, 0), want_edges.get(k, 0)) for k in [("g", "a"), ("g", "b"), ("g", "c"), ("g", "idle"), ("h", "a")]}
+
+
+def test_package_graphs_read_the_texts(spark, tmp_path):
+    from quillspark.plans import graphs
+
+    rows = [(1, "def told(a):\n    return pickle.loads(a)", "python", "s"), (2, None, "python", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    names = {(r.type, r.name) for r in graphs._build(spark, str(tmp_path))[0].collect()}
+    assert {("function", "told"), ("function", "f1"), ("function", "f2"), ("dangerous_api", "pickle.loads"), ("dependency", "os")} <= names

@@ -1,7 +1,8 @@
 """Toxic spans and document scores from a linear-chain conditional random field.
 
 Training (driver, bounded): at most ``max_docs`` toxic and ``CLEAN`` times as many clean labelled
-documents, of bounded length together, are drawn by hash order. Their tokens get labels from the document labels: a token of a toxic document
+documents, of bounded length together, are drawn by hash order; each id counts once, and a text
+over its share of the characters is seen in windows. Their tokens get labels from the document labels: a token of a toxic document
 is toxic if its word, or one of its leading n-grams, stands in at least ``min_contexts``
 different neighbourhoods of toxic documents and (almost) never in clean ones; all others are
 clean. Counting neighbourhoods instead of documents keeps copies from speaking twice. A
@@ -30,7 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -42,6 +43,8 @@ PREFIXES = (3, 4, 5, 6)
 MAX_DOCS = 900
 MAX_CHARS = 1_500_000
 CLEAN = 3
+#: One document has at most this part of the toxic characters; longer texts show WINDOWS places of theirs.
+SHARE, WINDOWS = 50, 4
 CHAIN = 256
 CACHED_WORDS = 200_000
 #: Characters whose tokens are held at once when scoring.
@@ -264,6 +267,13 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
 
+def _windowed(text: Column, most: int) -> Column:
+    """The text, or windows at even distances from its start to its end, of ``most`` characters together."""
+    size = max(1, (most - WINDOWS + 1) // WINDOWS)
+    start = lambda k: F.floor((F.length(text) - size) * k / (WINDOWS - 1)).cast("int") + 1
+    return F.when(F.length(text) <= most, text).otherwise(F.concat_ws("\n", *[F.substr(text, start(k), F.lit(size)) for k in range(WINDOWS)]))
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS, text: str = "text") -> Model:
     """The model of a bounded sample of the labelled rows that aren't held out."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -272,8 +282,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_chars:
         own = known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs * (1 if label else CLEAN))
         drawn = own if drawn is None else drawn.unionByName(own)
     sample = F.broadcast(drawn)  # at most (1 + CLEAN) * max_docs rows of two numbers
-    rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).join(sample, "doc_id").withColumn("n", F.length("text"))
-    before = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).join(sample, "doc_id").withColumn("text", _windowed(F.col("text"), max_chars // SHARE))
+    # each id once, whatever copies of it there are
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x")).select("doc_id", "toxic", "x.text").withColumn("n", F.length("text"))
+    before = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("upto", F.sum("n").over(before)).filter(F.col("upto") <= F.when(F.col("toxic") == 1, max_chars).otherwise(CLEAN * max_chars))
     got = rows.select("doc_id", "text", "toxic").collect()
     got.sort(key=lambda r: (r["doc_id"], r["text"]))

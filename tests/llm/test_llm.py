@@ -321,6 +321,21 @@ def test_toxicity(spark, odd, none):
     assert toxicity.add_scores(odd, toxicity.fit(df.select("doc_id", "text"), labels.filter("toxic = 0"))).agg(F.max("score")).first()[0] == 0
 
 
+def test_toxicity_sample_survives_long_texts_and_copies(spark):
+    r = random.Random(9)
+    clean = [f"w{i}" for i in range(200)]
+    make = lambda bad, n: " ".join(r.choice(clean) if r.random() > 0.1 or not bad else f"grrb{r.choice('xyz')}{r.randint(0, 9)}" for _ in range(n))
+    rows = [(i, make(i % 4 == 0, 60), int(i % 4 == 0)) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    first = [df.filter(~toxicity.held_out()).filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id")).first().doc_id for k in (0, 1)]
+    labels, copied = df.select("doc_id", "toxic"), df.filter(F.col("doc_id") == first[1]).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("k")
+    long = {i: make(i == first[1], 60_000) for i in first}  # each longer than all characters of its class
+    for docs in (spark.createDataFrame([(i, long.get(i, t), y) for i, t, y in rows], df.schema), df.unionByName(copied)):
+        model = toxicity.fit(docs.select("doc_id", "text"), labels, max_chars=60_000)
+        held = [x for x in toxicity.add_scores(df, model).withColumn("held", toxicity.held_out()).collect() if x.held]
+        assert model.weights is not None and np.mean([(x.score >= 0.5) == x.toxic for x in held]) > 0.97
+
+
 # 10 -----------------------------------------------------------------------------------
 
 

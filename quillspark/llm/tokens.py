@@ -7,8 +7,9 @@ table of prefixes answers "how many tokens do the first n characters have" and "
 does a budget reach" without encoding the text again; inside a piece, one short encoding of
 the piece's own prefix closes the gap. Pieces recur, so that each worker keeps a bounded
 cache of them; for byte-level vocabularies, words of letters go through the merges many at a
-time, the marks behind them apart. A text whose white space is anything else (several blanks in a row, tabs,
-control characters) is encoded whole and has a single step.
+time, the marks behind them apart. A text with white space of any other kind (several blanks in a
+row, tabs, control characters) is cut before each run of white space that follows something else;
+the run leads its piece.
 
 Defined results: null texts are empty and have no tokens; texts of any length are counted
 whole; repeated rows are counted one by one; an empty table gives an empty table; further
@@ -32,6 +33,9 @@ CACHED_PIECES = 800_000
 CHUNK_CHARS = 4_000_000
 #: White space other than blanks and line feeds.
 OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+#: Where white space of the tokenizers' own patterns follows anything else.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BEFORE_SPACE = re.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])")
 #: Letters, then marks: two units of their own for a byte-level vocabulary, whatever surrounds them.
 LETTERS = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]*)")
 WORDS_AT_ONCE = 1_000
@@ -91,7 +95,7 @@ class PieceEncoder:
         if not text:
             return []
         if odd(text):
-            return [text]
+            return BEFORE_SPACE.split(text)
         if not self.blank_leads:
             return text.split()
         # the blank leads its piece, a line feed is a piece of its own
@@ -170,6 +174,8 @@ class PrefixCounts:
         else:
             sizes = [x >> 2 for x in map(len, map(enc.cache.__getitem__, own))]
         self.pieces = own
+        #: No piece holds the blanks between pieces.
+        self.bare = not enc.blank_leads and len(own) > 1 and not odd(text)
         self.counts = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))) if own else np.zeros(1, np.int64)
 
     @property
@@ -181,7 +187,7 @@ class PrefixCounts:
         if len(self.pieces) == 1:
             return np.array([0, len(self.text)])
         lens = np.cumsum([len(p) for p in self.pieces], dtype=np.int64)
-        if not self.enc.blank_leads and len(lens):
+        if self.bare:
             lens += np.arange(len(lens))
         return np.concatenate(([0], lens))
 
@@ -193,7 +199,7 @@ class PrefixCounts:
         if len(self.pieces) == 1 or k == len(ends) - 1:
             return self.total if chars >= len(self.text) else len(self.enc.encode_many([self.text[:chars]])[0]) >> 2
         rest = self.text[start:chars]
-        if not self.enc.blank_leads:
+        if self.bare:
             rest = rest.lstrip(" \n")
         return int(self.counts[k]) + (len(self.enc.encode_many([rest])[0]) >> 2 if rest else 0)
 

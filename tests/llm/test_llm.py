@@ -115,6 +115,18 @@ def test_pieces_and_prefixes(name, leads):
             assert counts.at(n) == len(direct(name, text[:n])), (text, n)
 
 
+@pytest.mark.parametrize(("name", "leads"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_budgets_reach_the_last_whole_word(spark, name, leads):
+    texts = ["First part, of words.\n\nSecond  part:\tx = 1\r\n   y\xa0= 'unbelievable'\u3000end \n", "\n\nlead", "tail  ", "one two three four five", " \t ", "a\n\n" * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for budget in (1, 3, 8, 15):
+        got = {r.doc_id: r for r in tokens.add_counts(df, name, leads, budget=budget, prefixes=True).collect()}
+        for k, text in enumerate(texts):
+            steps = [0, *(n for n in range(1, len(text)) if not text[n - 1].isspace() and text[n].isspace()), len(text)]
+            assert got[k].fit_chars in (want := max(n for n in steps if len(direct(name, text[:n])) <= budget), want + 1), (text, budget)
+            assert all(len(direct(name, text[:n])) == c for n, c in zip(got[k].prefix_chars, got[k].prefix_tokens, strict=True))
+
+
 # 3 ------------------------------------------------------------------------------------
 
 

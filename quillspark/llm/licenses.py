@@ -1,11 +1,12 @@
 """Licence recognition by sentence rules.
 
 A text is cut into sentences (at line ends and after ``.``, ``;`` or ``:`` before white
-space). A sentence that mentions a licence word is normalised (lower case, white space and
-quotes collapsed) and mapped to the identifier of the first pattern of SENTENCES that it
-matches; others that only mention one become ``unknown``. The document's identifiers in
-order, joined by ``;``, are then matched against the ordered RULES: the first rule of each
-licence that matches names it. Both tables are fixed and small, and compile into one
+space). A sentence that mentions a licence word or name is normalised (lower case, white space
+and quotes collapsed) and mapped to the identifier of the first pattern of SENTENCES that it
+matches; others that only mention one become ``unknown``. Lines that name another identifier
+together than apart are one sentence. The document's identifiers in order, joined by ``;``,
+are then matched against the ordered RULES: each that matches names its licence, but general
+rules (YIELDING) yield to their family's earlier ones. Both tables are fixed and small, and compile into one
 projection without shuffle or user functions.
 
 Defined results: null text counts as empty and has no licence; ties go to the rule that
@@ -95,27 +96,64 @@ RULES = (
 )
 
 
-def sentence_ids(text: Column) -> Column:
-    """Identifiers of a text's licence sentences, in order."""
+#: Names of licences in sentences that hold none of MENTIONS' words; whole words, as keys and hashes hold them by chance.
+NAMES = r"\b[al]?gpl(v?[0-9]|\b)|\bmpl[- ]?2|\b[23]-clause bsd\b|\bbsd[- ][23]-clause\b|\bcc[- ]by\b|\bcc0\b|attribution-(noncommercial|sharealike|noderiv)|creative commons attribution|provided .?as is"
+#: Texts without any of these have neither, on one line or across lines.
+HINTS = r"licen[sc]e|copyright|spdx|warrant|redistribut|reserved|domain|permission|neither|liab|gpl|\bmpl|bsd|\bcc|attribution|provided"
+#: Lines that a wrapped phrase may cover.
+WRAPPED = (2, 3)
+#: Rules that yield to the earlier ones of their family, unless their own pattern (if any) matches.
+YIELDING = {"Apache": None, "LGPL": None, "GPL": None, "MPL": None, "BSD": None, "BSD-2-Clause": ";bsd-2;"}
+
+
+def _name(s: Column) -> Column:
+    """The identifier of a normalised sentence, or null."""
+    out = None
+    for ident, pattern in SENTENCES:
+        out = F.when(s.rlike(pattern), ident) if out is None else out.when(s.rlike(pattern), ident)
+    return F.when(s.rlike(MENTIONS) | s.rlike(NAMES), out)
+
+
+def _normalised(text: Column) -> Column:
+    """All sentences and lines of a text, normalised."""
     # SPDX tags hold a colon and blank, and stay whole
     cut = F.split(F.regexp_replace(F.regexp_replace(text, r"(?i)(spdx-license-identifier:)[ \t]+", "$1"), r"([.;:])[ \t]+", "$1\n"), "\n", -1)
-    near = F.filter(cut, lambda s: F.lower(s).rlike(MENTIONS))
-    norm = F.transform(near, lambda s: F.trim(F.regexp_replace(F.lower(s), r"[\x20\x09-\x0D\x22*#/]+", " ")))
+    return F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), r"[\x20\x09-\x0D\x22*#/]+", " ")))
 
-    def name(s: Column) -> Column:
-        out = None
-        for ident, pattern in SENTENCES:
-            out = F.when(s.rlike(pattern), ident) if out is None else out.when(s.rlike(pattern), ident)
-        return out
 
-    return F.array_compact(F.transform(norm, name))
+def _across(lines: int) -> Column:
+    """For each place of _n, the identifier that shows only when so many lines are joined, or null.
+
+    Lines that end a sentence and blank ones are not joined.
+    """
+    def at(s: Column, k: Column) -> Column:
+        part = F.slice("_n", k + 1, lines)
+        whole = F.array_join(part, " ")
+        near = (F.size(part) == lines) & ~F.exists(part, lambda x: x == "") & ~F.exists(F.slice(part, 1, lines - 1), lambda x: x.rlike("[.;:]$")) & (whole.rlike(MENTIONS) | whole.rlike(NAMES))
+        ident = F.when(near, _name(whole))
+        known = F.exists(F.slice("_i", k + 1, lines), lambda x: x.eqNullSafe(ident))
+        if lines > 2:  # nor in fewer lines
+            known = known | F.exists(F.slice("_j2", k + 1, lines - 1), lambda x: x.eqNullSafe(ident))
+        return F.when(~known, ident)
+
+    return F.transform("_n", at)
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add license_sentences (identifiers in order), licenses (names in the order of RULES) and n_license_sentences."""
     whole = text_or_empty(text)
     empty = F.array().cast("array<string>")
-    df = docs.withColumn("license_sentences", F.when(F.lower(whole).rlike(MENTIONS), sentence_ids(whole)).otherwise(empty))
+    df = docs.withColumn("_n", F.when(F.lower(whole).rlike(HINTS), _normalised(whole)).otherwise(empty))
+    df = df.withColumn("_i", F.transform("_n", _name))
+    for n in WRAPPED:
+        df = df.withColumn(f"_j{n}", _across(n))
+
+    def taken(k: Column) -> Column:
+        """A phrase that began on an earlier line covers this one."""
+        return F.exists(F.sequence(F.lit(1), F.lit(max(WRAPPED) - 1)), lambda b: (k >= b) & ((F.get(F.col("_j2"), k - b).isNotNull() & (b < 2)) | F.get(F.col("_j3"), k - b).isNotNull()))
+
+    ids = F.transform("_i", lambda x, k: F.coalesce(F.get(F.col("_j2"), k), F.get(F.col("_j3"), k), F.when(~taken(k), x)))
+    df = df.withColumn("license_sentences", F.array_compact(ids)).drop("_n", "_i", "_j2", "_j3")
     df = df.withColumn("_s", F.concat(F.lit(";"), F.array_join(F.transform("license_sentences", lambda x: F.concat(x, F.lit(";"))), "")))
     names, before = [], {}
     for licence, family, pattern in RULES:
@@ -126,7 +164,11 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
                 others = others | x
             names.append(F.when(hit & ~others, F.lit(licence)))
             continue
-        names.append(F.when(hit & ~before[family] if family in before else hit, F.lit(licence)))
+        free = hit
+        if licence in YIELDING and family in before:
+            own = YIELDING[licence]
+            free = hit & (~before[family] if own is None else ~before[family] | F.col("_s").rlike(own))
+        names.append(F.when(free, F.lit(licence)))
         before[family] = before[family] | hit if family in before else hit
     df = df.withColumn("licenses", F.when(F.size("license_sentences") == 0, empty).otherwise(F.array_compact(F.array(*names))))
     return df.withColumn("n_license_sentences", F.size("license_sentences").cast("long")).drop("_s")

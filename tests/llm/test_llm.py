@@ -297,6 +297,17 @@ def test_licenses(spark, odd, none):
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(none).count() == 0
 
 
+def test_licenses_by_name_across_lines_and_several(spark):
+    cases = [("Released under GPL-3.0.", ["GPL-3.0"]), ("Distributed under the GNU GPL v2", ["GPL-2.0"]), ("CC BY-SA 4.0", ["CC-BY-SA"]), ("CC0", ["CC0"]), ("MPL-2.0", ["MPL-2.0"]), ("LGPL v3", ["LGPL-3.0"]), ("the 3-clause BSD", ["BSD-3-Clause"]),
+             (" * under the GNU General Public\n * License, version 2", ["GPL-2.0"]), ("the GNU Lesser\nGeneral Public License, version 3", ["LGPL-3.0"]), ("GNU\nGeneral Public\nLicense", ["GPL"]), ("All rights\nreserved", ["Proprietary"]),
+             ("GPL-2.0 here.\nGPL-3.0 there.", ["GPL-3.0", "GPL-2.0"]), ("CC-BY-NC one.\nCC-BY-SA other.", ["CC-BY-NC", "CC-BY-SA"]), ("GNU GPL.\nGPL-3.0", ["GPL-3.0"]), ("2-clause BSD.\n3-clause BSD.", ["BSD-3-Clause", "BSD-2-Clause"]),
+             ("MIT License\nCopyright (c) 2020 A", ["MIT"]), ("key = 9acc0f71 and sampl 2", []), ("for the general public\n\nlicense plates", [])]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    assert {cases[r.doc_id][0]: r.licenses for r in licenses.scan(df).collect()} == dict(cases)
+    warranty = licenses.scan(spark.createDataFrame([(1, "It is provided as is")], df.schema)).first()
+    assert warranty.license_sentences == ["no-warranty"]
+
+
 # 9 ------------------------------------------------------------------------------------
 
 

@@ -21,6 +21,14 @@ def test_rules_hit_line_by_line(spark):
     assert got == {(1, "CMD-001", 2), (1, "MISCONFIG-002", 3)}  # a hit over two lines is none
 
 
+def test_exception_handlers(spark):
+    texts = ["try:\n  x()\nexcept ValueError:\n\n    pass", "except: return True", "try { a() } catch (e) { }", "} catch (e) {\n  allowed = true;\n}\nreturn true", "catch {\n}\nallowed = true", "except E:\n    log(e)", "catch (e) { throw e }",
+             "except:\n\n\n\n  return True", "catch (e) {\n a()\n b()\n c()\n return true", "we except: nothing"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {(r.id, r.rule_id, r.line, r.cwe) for r in rules.scan_lines(df, "id").collect()}
+    assert got == {(0, "ERROR-003", 3, "CWE-390"), (1, "DESIGN-003", 1, "CWE-636"), (2, "ERROR-003", 1, "CWE-390"), (3, "DESIGN-003", 1, "CWE-636"), (4, "ERROR-003", 1, "CWE-390"), (7, "ERROR-003", 1, "CWE-390")}
+
+
 def test_chain_gaps(spark):
     near = "curl http://a.example\n" + "x\n" * 39 + "subprocess"
     far = "curl http://a.example\n" + "x\n" * 40 + "subprocess"

@@ -10,11 +10,14 @@
    each bucket the most central member (that with the fullest buckets) is the pivot, and all
    others are compared with it: no bucket is expanded into its pairs.
 4. Links are confirmed on the full sets, recomputed from the texts of the classes in question.
-   Union-find and star contraction give components.
+   A set goes once to each pivot it is compared with, a pivot's own set once to each block of
+   BLOCK_BYTES of those; first with the pivot that shares most buckets, then, where components
+   still differ, with the others. Union-find and star contraction give components.
 5. Buckets that still span several components hold links that no pivot has shown, if any.
    Their members are compared across components only, in blocks of bounded bytes: signatures
-   leave what may reach the threshold (four standard deviations), the full sets decide, and
-   components that have met are not compared again.
+   leave what may reach the threshold (six standard deviations), the full sets decide, and
+   components that have met are not compared again. The largest component of what is compared
+   is only dealt against the others, never against itself.
 
 Defined results: null texts, texts without words: empty set, size 0, linked with nothing;
 null ids: likewise linked with nothing and kept; rows with one id are one document and share
@@ -27,24 +30,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
-from .common import saved, table
+from .common import release, saved, table, unused
 from .components import UnionFind, components
 
 SLOTS, BAND = 128, 4
 WORDS = 5
 PERCENT = 75
-#: Signatures agree in at least this share where the similarity is PERCENT, but for chances of 1 in 30,000.
-MAY_REACH = 0.60
-#: Ids are broadcast up to this number (8 MB), else joined by shuffle.
-MAX_BROADCAST_IDS = 500_000
+#: Signatures agree in at least this share where the similarity is PERCENT, but for chances of 1 in 100 million.
+MAY_REACH = 0.52
+#: Ids (with where their sets go) are broadcast up to this number, else joined by shuffle.
+MAX_BROADCAST_IDS = 2_000_000
 #: Bytes of sets and signatures on each side of a block that one task compares.
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 12_000_000
 CHUNK = 2_000_000
 
 _U = np.uint64
@@ -160,68 +161,93 @@ def superminhash(doc: np.ndarray, h: np.ndarray, n_docs: int, slots: int = SLOTS
     return out
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
-    """Ids and texts in parts of about CHUNK bytes."""
-    for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        at, size, own = 0, 0, []
-        for k, t in enumerate(texts):
-            own.append((t or "").encode("utf-8", "surrogatepass"))
-            size += len(own[-1])
-            if size >= CHUNK or k == len(texts) - 1:
-                yield ids[at : k + 1], own
-                at, size, own = k + 1, 0, []
+def _parts(texts: pa.Array) -> Iterator[tuple[int, int, list]]:
+    """Start, end and texts in parts of about CHUNK bytes; texts as views of the batch."""
+    at, size, own = 0, 0, []
+    for k, t in enumerate(texts):
+        own.append(t.as_buffer() if t.is_valid else b"")
+        size += len(own[-1])
+        if size >= CHUNK or k == len(texts) - 1:
+            yield at, k + 1, own
+            at, size, own = k + 1, 0, []
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts in _parts(batches):
-        doc, h = shingle_sets(texts)
-        n = np.bincount(doc, minlength=len(ids))
-        sums = []
-        for salt in (1, 2):
-            total = np.zeros(len(ids), np.uint64)
-            np.add.at(total, doc, mix(h + _U(salt * 0xA24BAED4963EE407 & (2**64 - 1))))
-            sums.append(total.view(np.int64))
-        sig = superminhash(doc, h, len(ids))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array([s.tobytes() for s in sig], pa.binary())],
-            names=["doc_id", "n_shingles", "h1", "h2", "sig"],
-        )
+    for batch in batches:
+        for start, end, texts in _parts(batch.column(1)):
+            doc, h = shingle_sets(texts)
+            n = np.bincount(doc, minlength=len(texts))
+            sums = []
+            for salt in (1, 2):
+                total = np.zeros(len(texts), np.uint64)
+                np.add.at(total, doc, mix(h + _U(salt * 0xA24BAED4963EE407 & (2**64 - 1))))
+                sums.append(total.view(np.int64))
+            sig = superminhash(doc, h, len(texts))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(start, end - start), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array([s.tobytes() for s in sig], pa.binary())],
+                names=["doc_id", "n_shingles", "h1", "h2", "sig"],
+            )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts in _parts(batches):
-        doc, h = shingle_sets(texts)
-        cut = np.searchsorted(doc, np.arange(len(ids) + 1))
-        rows = [h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.binary())], names=["id", "shingles"])
+    """(id, text, ...) with the set in the text's place."""
+    for batch in batches:
+        for start, end, texts in _parts(batch.column(1)):
+            doc, h = shingle_sets(texts)
+            cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+            rows = [h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            others = [batch.column(k).slice(start, end - start) for k in range(2, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array(rows, pa.binary()), *others], names=["id", "shingles", *batch.schema.names[2:]])
 
 
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(_sign, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
 
 
-@F.pandas_udf(BooleanType())
-def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = []
-    for x, y in zip(a, b, strict=True):
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
-            out.append(False)
-            continue
-        both = np.concatenate((x, y))
-        both.sort(kind="stable")
-        shared = int((both[1:] == both[:-1]).sum())
-        out.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
-    return pd.Series(out, dtype=bool)
+def sets_to(docs: DataFrame, where: DataFrame, kind: str, text: str) -> DataFrame:
+    """The full sets, a row for each row of ``where`` (id and the columns of ``kind``); ``where`` must be saved."""
+    names = [c.split()[0] for c in kind.split(", ")]
+    lists = where.groupBy("id").agg(F.collect_list(F.struct(*names)).alias("to"))
+    needed = F.broadcast(lists) if where.count() <= MAX_BROADCAST_IDS else lists
+    found = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text")).join(needed, "id")
+    made = found.mapInArrow(_sets, f"id long, shingles binary, to array<struct<{', '.join(c.replace(' ', ':') for c in kind.split(', '))}>>")
+    return made.select("id", "shingles", F.explode("to").alias("to")).select("id", "shingles", "to.*")
+
+
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)) or not len(a) or not len(b):
+        return False
+    at = np.searchsorted(a, b)
+    shared = int(np.count_nonzero(a[np.minimum(at, len(a) - 1)] == b))
+    return 100 * shared >= PERCENT * (len(a) + len(b) - shared)
+
+
+def _against_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of members with their pivot; rows come sorted by (pivot, block, role), the pivot's set (role 0) first."""
+    now, pivots = None, []
+    for batch in batches:
+        out: list[tuple[int, int]] = []
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("pivot", "block", "role", "id")), strict=True))
+        for (pivot, block, role, own), data in zip(keys, batch.column(batch.schema.get_field_index("shingles")), strict=True):
+            if (pivot, block) != now:
+                now, pivots = (pivot, block), []
+            if role == 0:
+                pivots.append(np.frombuffer(data.as_py(), np.uint64))
+            elif any(_similar(p, np.frombuffer(data.as_buffer(), np.uint64)) for p in pivots):
+                out.append((min(pivot, own), max(pivot, own)))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["src", "dst"])
 
 
 def verified(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """The pairs (src, dst) whose full sets are similar enough; ``pairs`` must be saved or cheap."""
-    ids = saved(pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct())
-    sets = saved(shingles_of(docs, ids, text))
-    left, right = sets.select(F.col("id").alias("src"), F.col("shingles").alias("a")), sets.select(F.col("id").alias("dst"), F.col("shingles").alias("b"))
-    return pairs.join(left, "src").join(right, "dst").filter(_alike("a", "b")).select("src", "dst").distinct()
+    """(src, dst) of the pairs (pivot, rep, n: shingles of rep) whose full sets are similar enough; ``pairs`` must be saved."""
+    blocks = pairs.groupBy("pivot").agg(F.ceil(F.sum(F.col("n") * 8) / BLOCK_BYTES).cast("int").alias("nb"))
+    members = pairs.join(blocks, "pivot").select(F.col("rep").alias("id"), "pivot", F.pmod(F.xxhash64("rep"), F.col("nb").cast("long")).cast("int").alias("block"), F.lit(1).alias("role"))
+    pivots = blocks.select(F.col("pivot").alias("id"), "pivot", F.explode(F.expr("sequence(0, nb - 1)")).alias("block"), F.lit(0).alias("role"))
+    where = saved(members.unionByName(pivots))
+    dealt = sets_to(docs, where, "pivot long, block int, role int", text)
+    links = saved(dealt.repartition("pivot", "block").sortWithinPartitions("pivot", "block", "role").mapInArrow(_against_pivots, "src long, dst long").distinct())
+    release(where)
+    return links
 
 
 def _links_across(sig: np.ndarray, sets: list[np.ndarray], rep: list[int], comp: list[int], side: np.ndarray) -> list[tuple[int, int]]:
@@ -279,30 +305,33 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["src", "dst"])
 
 
-def shingles_of(docs: DataFrame, ids: DataFrame, text: str) -> DataFrame:
-    """(id, shingles) of the documents that a saved table of ids names."""
-    needed = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
-    return docs.select(F.col("doc_id").cast("long").alias("id"), text).join(needed, "id", "left_semi").mapInArrow(_sets, "id long, shingles binary")
-
-
 def links_of_rest(rest: DataFrame, classes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """Links between components that meet in a bucket: ``rest`` has (key, rep, comp) of such buckets.
 
     Buckets that share a member are taken together, so that a set travels once. What is
-    taken together is cut into parts of bounded bytes, and every two parts meet in one task.
+    taken together is cut into parts of bounded bytes. Every two parts meet in one task, but
+    for parts of its largest component, which only meet those of the others.
     """
     least = rest.groupBy("key").agg(F.min("rep").alias("dst"))
     coarse = components(rest.join(least, "key").select(F.col("rep").alias("src"), "dst").filter("src <> dst").distinct())
     reps = rest.select("rep", "comp").distinct().join(coarse.select(F.col("node").alias("rep"), F.col("component").alias("coarse")), "rep")
     reps = saved(reps.join(classes.select("rep", "sig", "n_shingles"), "rep"))
-    sets = shingles_of(docs, saved(reps.select(F.col("rep").alias("id")).distinct()), text)
-    sizes = reps.groupBy("coarse").agg(F.ceil(F.sum(F.col("n_shingles") * 8 + 2 * SLOTS) / BLOCK_BYTES).cast("int").alias("nb"))
-    dealt = reps.join(sizes, "coarse").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb").cast("long")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
+    sizes = reps.groupBy("coarse", "comp").agg(F.sum(F.col("n_shingles") * 8 + 2 * SLOTS).alias("size"))
+    sizes = sizes.groupBy("coarse").agg(F.sum("size").alias("all"), F.max(F.struct("size", "comp")).alias("most"))
+    parts = lambda size: F.greatest(F.lit(1), F.ceil(size / BLOCK_BYTES)).cast("int")
+    sizes = sizes.select("coarse", F.col("most.comp").alias("largest"), parts(F.col("all") - F.col("most.size")).alias("few"), parts(F.col("most.size")).alias("many"))
+    dealt = reps.drop("sig").join(sizes, "coarse")
+    is_most = F.col("comp") == F.col("largest")
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n).cast("long")).cast("int")
+    dealt = dealt.withColumn("own", F.when(is_most, F.col("few") + place("many")).otherwise(place("few")))
+    dealt = dealt.withColumn("other", F.explode(F.when(is_most, F.expr("sequence(0, few - 1)")).otherwise(F.expr("sequence(0, few + many - 1)"))))
     i, j = F.least("own", "other"), F.greatest("own", "other")
-    dealt = dealt.select("coarse", i.alias("i"), j.alias("j"), "rep", "comp", F.when(F.col("own") == i, 0).otherwise(1).alias("side"), "sig")
-    dealt = dealt.join(sets.withColumnRenamed("id", "rep"), "rep")
-    return dealt.repartition("coarse", "i", "j").sortWithinPartitions("coarse", "i", "j", "rep").mapInArrow(_blocks, "src long, dst long")
+    where = saved(dealt.select(F.col("rep").alias("id"), "coarse", i.alias("i"), j.alias("j"), "comp", F.when(F.col("own") == i, 0).otherwise(1).alias("side")))
+    sets = sets_to(docs, where, "coarse long, i int, j int, comp long, side int", text).withColumnRenamed("id", "rep")
+    dealt = sets.join(reps.select("rep", "sig"), "rep")
+    more = saved(dealt.repartition("coarse", "i", "j").sortWithinPartitions("coarse", "i", "j", "rep").mapInArrow(_blocks, "src long, dst long"))
+    release(reps, where)
+    return more
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -312,28 +341,41 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         sig.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig"))
     )
     bands = F.expr(f"transform(sequence(0, {SLOTS // BAND - 1}), k -> xxhash64(substring(sig, k * {2 * BAND} + 1, {2 * BAND}), k))")
-    banded = classes.select("rep", F.explode(bands).alias("key"))
+    banded = classes.select("rep", F.col("n_shingles").alias("n"), F.explode(bands).alias("key"))
     counts = banded.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    members = saved(banded.join(counts, "key").select("key", "rep", "c"))
+    members = saved(banded.join(counts, "key").select("key", "rep", "n", "c"))
     links = None
     if not members.isEmpty():
         central = members.groupBy("rep").agg(F.sum("c").alias("weight"))
         weighed = members.join(central, "rep")
-        pivots = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"))).alias("p"))
-        pairs = weighed.join(pivots.select("key", (-F.col("p.r")).alias("pivot")), "key").filter("rep <> pivot")
-        pairs = saved(pairs.select(F.least("rep", "pivot").alias("src"), F.greatest("rep", "pivot").alias("dst")).distinct())
-        links = saved(verified(pairs, docs, text))
+        pivots = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"), "n")).alias("p"))
+        pairs = weighed.join(pivots.select("key", (-F.col("p.r")).alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.weight").alias("pivot_weight")), "key").filter("rep <> pivot")
+        # sets of sizes too far apart can't be similar enough
+        pairs = pairs.filter(f"100 * least(n, pivot_n) >= {PERCENT} * greatest(n, pivot_n)")
+        pairs = saved(pairs.groupBy("rep", "pivot").agg(F.count("*").alias("shared"), F.max("n").alias("n"), F.max("pivot_weight").alias("pivot_weight")))
+        best = pairs.groupBy("rep", "n").agg(F.max(F.struct("shared", "pivot_weight", "pivot")).alias("b")).select("rep", "n", F.col("b.pivot").alias("pivot"))
+        best = saved(best)
+        links = verified(best, docs, text)
         comps = components(links)
+        of = lambda name: comps.select(F.col("node").alias(name), F.col("component").alias(f"{name}_comp"))
+        others = pairs.join(best.select("rep", "pivot"), ["rep", "pivot"], "left_anti").join(of("rep"), "rep", "left").join(of("pivot"), "pivot", "left")
+        others = saved(others.filter("coalesce(rep_comp, rep) <> coalesce(pivot_comp, pivot)").select("rep", "n", "pivot"))
+        if not others.isEmpty():
+            links = links.unionByName(verified(others, docs, text))
+            comps = components(links)
+        release(pairs, best, others)
         known = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
         split = known.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key")
         rest = saved(known.join(split, "key").select("key", "rep", "comp"))
         if not rest.isEmpty():
-            more = saved(links_of_rest(rest, classes, docs, text))
+            more = links_of_rest(rest, classes, docs, text)
             if not more.isEmpty():
                 comps = components(links.unionByName(more))
+        release(rest)
         found = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     else:
         found = classes.select("h1", "h2", "n_shingles", F.col("rep").alias("component"))
+    release(members)
     out = sig.drop("sig").join(found, ["h1", "h2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
@@ -342,8 +384,9 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with one document (the smallest id) of each group of near-duplicates."""
-    gone = near_duplicates(docs, text).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    (gone_id,) = unused(docs, "_gone")
+    gone = near_duplicates(docs, text).filter(~F.col("kept")).select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[gone_id], "left_anti")
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table, text_or_empty
+from .common import release, saved, table, text_or_empty, unused
 
 DEPTH, DEEPER = 3, 6
 MIN_DOCUMENTS = 3
@@ -44,23 +44,27 @@ LONG_TOKENS, LONG_DOCUMENTS = 50, 2
 MAX_BROADCAST_DOCUMENTS = 200_000
 
 
-def _flat(line: Column) -> Column:
-    """White space collapsed."""
-    return F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
+def masked(df: DataFrame, text: str, into: str) -> DataFrame:
+    """Add the text with white space collapsed and each token that holds a digit as a wildcard; line ends stay.
 
+    Whole texts go through the patterns, not line by line, and only those that need them.
+    """
+    (flat,) = unused(df, "flat")
+    df = df.withColumn(flat, F.when(F.col(text).rlike(r"[\x09\x0B-\x0D]|  "), F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(F.col(text)))
+    digits = F.regexp_replace(flat, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", "<*>")
+    return df.withColumn(into, F.when(F.col(flat).rlike("[0-9]"), digits).otherwise(F.col(flat))).drop(flat)
 
-def _masked(flat: Column) -> Column:
-    """Tokens with digits as wildcards. Takes a column or lambda variable: it is evaluated twice."""
-    return F.when(flat.rlike("[0-9]"), F.regexp_replace(flat, r"[^ ]*[0-9][^ ]*", "<*>")).otherwise(flat)
+
+def _count_tokens(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, text: str = "text") -> DataFrame:
     """_id, _key, place, line (masked) and n of every line with enough tokens."""
     df = docs.select(F.col("doc_id").alias("_id"), text_or_empty(text).alias("_t"))
-    df = df.select("_id", F.xxhash64("_t").alias("_key"), F.posexplode(F.split("_t", "\n", -1)).alias("place", "raw"))
-    df = df.select("_id", "_key", "place", _flat(F.col("raw")).alias("flat")).select("_id", "_key", "place", _masked(F.col("flat")).alias("line"))
-    tokens = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    return df.withColumn("n", tokens).filter((F.col("n") >= min_tokens) & (F.col("line") != ""))
+    df = masked(df, "_t", "_m").select("_id", F.xxhash64("_t").alias("_key"), F.posexplode(F.split("_m", "\n", -1)).alias("place", "cut"))
+    df = df.select("_id", "_key", "place", F.trim("cut").alias("line"))
+    return df.withColumn("n", _count_tokens(F.col("line"))).filter((F.col("n") >= min_tokens) & (F.col("line") != ""))
 
 
 def _leaf(depth: int) -> Column:
@@ -110,8 +114,9 @@ def recurring(
     if sources.count() <= MAX_BROADCAST_DOCUMENTS:
         sources = F.broadcast(sources)
     held = keyed.join(sources, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_key")))
-    held = held.select(F.explode(F.transform("places", lambda p: F.get(F.split("_t", "\n", -1), p))).alias("raw")).select(_flat(F.col("raw")).alias("flat")).select(_masked(F.col("flat")).alias("line"))
-    held = held.distinct().withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    held = masked(held, "_t", "_m").select("places", F.split("_m", "\n", -1).alias("_l"))
+    held = held.select(F.explode(F.transform("places", lambda p: F.get(F.col("_l"), p))).alias("cut")).select(F.trim("cut").alias("line"))
+    held = held.distinct().withColumn("n", _count_tokens(F.col("line")))
     said = held.withColumn("own", F.xxhash64("n", "line")).join(crowded.select("own", "docs"), "own")
     said = saved(said)
     first = saved(_templates(said, DEPTH, similarity))
@@ -136,28 +141,21 @@ def drop_recurring(
     gone = gone.groupBy("_id", "_key").agg(
         F.collect_set(F.when(~F.col("keep_first"), F.col("own"))).alias("_all"), F.collect_set(F.when(F.col("keep_first"), F.col("own"))).alias("_later")
     )
-    df = docs.withColumn("_t", text_or_empty(text)).withColumn("_h", F.xxhash64("_t"))
-    df = df.join(gone, df["doc_id"].eqNullSafe(gone["_id"]) & (df["_h"] == gone["_key"]), "left")
-    parts = F.split("_t", "\n", -1)
+    df = docs.select(F.struct("*").alias("row")).withColumn("_h", F.xxhash64(text_or_empty(F.col("row")[text])))
+    df = df.join(gone, F.col("row")["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_key")), "left")
+    df = df.select("row", "_all", "_later", text_or_empty(F.col("row")[text]).alias("_t"))
     # only documents with lines to drop are cut into lines and hashed again
-    hashed = F.transform(parts, lambda raw: F.struct(raw.alias("raw"), _flat(raw).alias("flat")))
-    hashed = F.transform(hashed, lambda x: F.struct(x["raw"].alias("raw"), _masked(x["flat"]).alias("line")))
-    hashed = F.transform(hashed, lambda x: F.struct(x["raw"].alias("raw"), F.xxhash64(_count_tokens(x["line"]), x["line"]).alias("own")))
-    df = df.withColumn("_l", F.when(F.col("_all").isNotNull(), hashed))
-    left = F.expr("filter(_l, (x, k) -> NOT array_contains(_all, x.own) AND NOT (array_contains(_later, x.own) AND exists(slice(_l, 1, k), y -> y.own = x.own)))")
+    df = masked(df.withColumn("_t2", F.when(F.col("_all").isNotNull(), F.col("_t"))), "_t2", "_m")
+    own = F.transform(F.transform(F.split("_m", "\n", -1), lambda cut: F.trim(cut)), lambda line: F.xxhash64(_count_tokens(line), line))
+    df = df.withColumns({"_l": F.split("_t2", "\n", -1), "_own": own})
+    left = F.expr("filter(_l, (x, k) -> NOT array_contains(_all, get(_own, k)) AND NOT (array_contains(_later, get(_own, k)) AND array_position(_own, get(_own, k)) <= k))")
     df = df.withColumn("_left", left)
-    kept = F.array_join(F.transform("_left", lambda x: x["raw"]), "\n")
-    out = df.withColumn(text, F.when(F.col("_l").isNull(), F.col(text)).otherwise(kept))
-    names = list(docs.columns)
+    new = {text: F.when(F.col("_l").isNull(), F.col("row")[text]).otherwise(F.array_join("_left", "\n"))}
     if report:
-        out = out.withColumn("n_lines", F.size(parts).cast("long"))
-        out = out.withColumn("n_dropped", F.when(F.col("_l").isNull(), F.lit(0)).otherwise(F.size("_l") - F.size("_left")).cast("long"))
-        names = [n for n in names if n not in ("n_lines", "n_dropped")] + ["n_lines", "n_dropped"]
-    return out.select(*names)
-
-
-def _count_tokens(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+        new["n_lines"] = (F.length("_t") - F.length(F.replace("_t", F.lit("\n"), F.lit(""))) + 1).cast("long")
+        new["n_dropped"] = F.when(F.col("_l").isNull(), F.lit(0)).otherwise(F.size("_l") - F.size("_left")).cast("long")
+    names = [*docs.columns, *(n for n in new if n not in docs.columns)]
+    return df.select(*[(new[n] if n in new else F.col("row")[n]).alias(n) for n in names])
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

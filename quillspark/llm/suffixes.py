@@ -15,6 +15,8 @@ Every byte covered by a string of ``length`` bytes that also starts elsewhere is
    front-coded (common prefix with the one before, then the rest) and exchanged. Copies
    collapse before that, so that a string's share of a range is one entry for each task,
    however often it occurs.
+   Periodic text (one byte, one short pattern over megabytes) chooses equal suffixes at
+   every period; such a run of neighbours travels as one range, not place by place.
 4. *Merge.* A loser tree combines the runs of a range. Each run's head carries the length of
    its common prefix with the last winner, and strings are only compared behind it.
 5. *Windows.* Neighbours in the merged order give the common prefixes; a group with a common
@@ -50,7 +52,7 @@ CHUNK = 4_000_000
 #: A sorted run is closed at so many suffixes.
 RUN = 150_000
 _U = np.uint64
-_BITS = _U(22)
+_BITS = _U(20)
 
 
 def choose(buf: np.ndarray, length: int = LENGTH, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,31 +61,68 @@ def choose(buf: np.ndarray, length: int = LENGTH, span: int = SPAN) -> tuple[np.
     windows = len(buf) - length + 1
     if windows <= 0:
         return none, none, none
-    # the 16-byte hash at each position that a window's first part may choose
-    n = windows + span - 1
-    words = np.lib.stride_tricks.as_strided(buf, shape=(n + 8, 8), strides=(1, 1)) if len(buf) >= n + 15 else None
-    assert words is not None
-    packed = np.ascontiguousarray(words).view("<u8").ravel()
-    h = packed[:n] * _U(0x9E3779B97F4A7C15)
-    h ^= h >> _U(29)
-    h = (h + packed[8 : n + 8]) * _U(0xBF58476D1CE4E5B9)
-    h ^= h >> _U(32)
-    places = []
+    places, firsts, lasts = [], [], []
+    low = _U((1 << int(_BITS)) - 1)
     step = (1 << int(_BITS)) - span
-    for at in range(0, windows, step):  # places fit the low bits block by block
-        part = h[at : min(at + step, windows) + span - 1]
-        least = (part & ~_U((1 << int(_BITS)) - 1)) | np.arange(len(part), dtype=np.uint64)
+    for at in range(0, windows, step):  # places fit the low bits block by block, and memory is that of a block
+        some = min(step, windows - at)
+        # the 16-byte hash at each position that a window's first part may choose
+        n = some + span - 1
+        packed = np.ascontiguousarray(np.lib.stride_tricks.as_strided(buf[at:], shape=(n + 8, 8), strides=(1, 1))).view("<u8").ravel()
+        h = packed[:n] * _U(0x9E3779B97F4A7C15)
+        h ^= h >> _U(29)
+        h = (h + packed[8 : n + 8]) * _U(0xBF58476D1CE4E5B9)
+        h ^= h >> _U(32)
+        least = (h & ~low) | np.arange(n, dtype=np.uint64)
         width = 1
         while width < span:  # minima over a span that doubles
             move = min(width, span - width)
             least = np.minimum(least[: len(least) - move], least[move:])
             width += move
-        places.append((least & _U((1 << int(_BITS)) - 1)).astype(np.int64) + at)
-    chosen = np.concatenate(places)  # by window start
-    edge = np.flatnonzero(np.diff(chosen, prepend=-1))
-    last = np.append(edge[1:], len(chosen)) - 1
-    place = chosen[edge]
-    return place, place - last, place - edge
+        chosen = (least & low).astype(np.int64) + at  # by window start
+        edge = np.flatnonzero(np.diff(chosen, prepend=-1))
+        place, first, last = chosen[edge], edge + at, np.append(edge[1:], len(chosen)) - 1 + at
+        if places and places[-1][-1] == place[0]:  # its windows reach over the block's start
+            lasts[-1][-1] = last[0]
+            place, first, last = place[1:], first[1:], last[1:]
+        places.append(place)
+        firsts.append(first)
+        lasts.append(last)
+    place = np.concatenate(places)
+    return place, place - np.concatenate(lasts), place - np.concatenate(firsts)
+
+
+#: Offsets at which neighbouring suffixes are compared before all their bytes are.
+PROBES = (0, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89)
+#: So many neighbours at one distance are compared by one pass over the text.
+MANY = 256
+
+
+def runs_of_equal(buf: np.ndarray, place: np.ndarray, least: np.ndarray, greatest: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Beginnings and ends of runs of neighbouring suffixes with equal bytes and windows: periodic text chooses a place in each period.
+
+    Neighbours are nearer than a window is long, so that a run's windows cover one range.
+    """
+    begins = np.ones(len(place), bool)
+    p, q = place[:-1], place[1:]
+    alike = (least[1:] == least[:-1]) & (greatest[1:] == greatest[:-1])
+    for k in PROBES:
+        alike &= buf[p + k] == buf[q + k]
+    pairs = np.flatnonzero(alike)
+    start, end, gap = p[pairs] - greatest[pairs], p[pairs] + length - least[pairs], q[pairs] - p[pairs]
+    same = np.zeros(len(pairs), bool)
+    for d, n in zip(*np.unique(gap, return_counts=True), strict=True):
+        own = np.flatnonzero(gap == d)
+        if n < MANY:
+            same[own] = [bytes(buf[start[k] : end[k]]) == bytes(buf[start[k] + d : end[k] + d]) for k in own.tolist()]
+            continue
+        low, high = int(start[own].min()), int(end[own].max())
+        differ = np.zeros(high - low + 1, np.int32)
+        np.cumsum(buf[low:high] != buf[low + d : high + d], out=differ[1:])
+        same[own] = differ[end[own] - low] == differ[start[own] - low]
+    begins[pairs[same] + 1] = False
+    begin = np.flatnonzero(begins)
+    return begin, np.append(begin[1:], len(place)) if len(begin) else begin
 
 
 def _texts(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
@@ -242,13 +281,17 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, span: int = SPAN) ->
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
+            parts, copies = [], []
             for buf in _texts(batch, 2):
-                place, _, _ = choose(buf, length, span)
+                place, least, greatest = choose(buf, length, span)
                 if len(place):
-                    parts.append(_shared(buf, place, length, span))
-            values = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            unique, n = np.unique(values, return_counts=True)
+                    begin, end = runs_of_equal(buf, place, least, greatest, length)
+                    parts.append(_shared(buf, place[begin], length, span))
+                    copies.append(end - begin)
+            cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+            unique, where = np.unique(cat(parts), return_inverse=True)
+            n = np.zeros(len(unique), np.int64)
+            np.add.at(n, where, cat(copies))
             yield pa.RecordBatch.from_arrays([pa.array(unique), pa.array(n)], names=["part", "n"])
 
     parts = docs.mapInArrow(count, "part long, n long").groupBy("part").agg(F.sum("n").alias("n")).filter("n > 1")
@@ -258,12 +301,13 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, span: int = SPAN) ->
         for batch in batches:
             ones, others, all_parts, at = [], [], [], []
             for one, other, buf in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch, 2), strict=True):
-                place, _, _ = choose(buf, length, span)
+                place, least, greatest = choose(buf, length, span)
                 if len(place):
-                    ones.append(np.full(len(place), one))
-                    others.append(np.full(len(place), other))
-                    at.append(place)
-                    all_parts.append(_shared(buf, place, length, span))
+                    begin, _ = runs_of_equal(buf, place, least, greatest, length)
+                    ones.append(np.full(len(begin), one))
+                    others.append(np.full(len(begin), other))
+                    at.append(place[begin])
+                    all_parts.append(_shared(buf, place[begin], length, span))
             cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(cat(x)) for x in (ones, others, at, all_parts)], names=["one", "other", "place", "part"])
 
@@ -288,7 +332,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, span: int = SPAN) ->
             for r, entries in sorted(by_range.items()):
                 entries.sort(key=lambda e: e[:2])
                 coded = front_code([(s, x, k) for k, (s, x, _) in enumerate(entries)])
-                flat = np.array([(k, *w) for k, (_, _, where) in enumerate(entries) for w in where], dtype=np.int64)
+                flat = np.array([(k, *w) for k, (_, _, where) in enumerate(entries) for w in where], dtype=np.int64)  # entry, document, first and last place, copies, distances
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r], pa.int32()), pa.array([(task << 20) | closed], pa.int64()), pa.array([coded], pa.binary()), pa.array([flat.tobytes()], pa.binary())],
                     names=["range", "run", "coded", "places"],
@@ -301,11 +345,13 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, span: int = SPAN) ->
             for one, other, buf, keep in zip(*columns, _texts(batch, 2), batch.column(3).to_pylist(), strict=True):
                 place, least, greatest = choose(buf, length, span)
                 data = buf.tobytes()
-                index = np.searchsorted(place, [x["place"] for x in keep])
-                for x, k in zip(keep, index.tolist(), strict=True):
+                begin, until = runs_of_equal(buf, place, least, greatest, length)
+                index = np.searchsorted(place[begin], [x["place"] for x in keep])
+                for x, r in zip(keep, index.tolist(), strict=True):
+                    k, end = int(begin[r]), int(until[r])
                     p, a, b = int(place[k]), int(least[k]), int(greatest[k])
                     key = (x["part"], data[p : p + length - a], data[p - b : p])
-                    pending.setdefault(key, []).append((one, other, p, a, b))
+                    pending.setdefault(key, []).append((one, other, p, int(place[end - 1]), end - k, a, b))
                 if len(pending) >= RUN:
                     yield from close()
         yield from close()
@@ -318,7 +364,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, span: int = SPAN) ->
         where: list[dict[int, list]] = []
         for k in order.tolist():
             own: dict[int, list] = defaultdict(list)
-            for e, *at in np.frombuffer(group.column("places")[k].as_py(), np.int64).reshape(-1, 6).tolist():
+            for e, *at in np.frombuffer(group.column("places")[k].as_py(), np.int64).reshape(-1, 8).tolist():
                 own[e].append(at)
             where.append(own)
 
@@ -340,17 +386,17 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, span: int = SPAN) ->
                 reach[key] = max(reach.get(key, 0), best)
             entries, keys = [], []
             for key, places in merged.items() if len(merged) > 1 else ():
-                least, greatest = places[0][3], places[0][4]  # equal keys have equal bounds
+                least, greatest = places[0][5], places[0][6]  # equal keys have equal bounds
                 least = max(least, length - reach[key])  # a window is no longer than the common prefix behind the suffix's start
                 if least <= greatest:
-                    entries.append((key[0], key[1], len(places), least, greatest))
+                    entries.append((key[0], key[1], sum(x[4] for x in places), least, greatest))
                     keys.append(key)
             found = dict(zip(keys, repeated_windows(entries, length), strict=True))
             for key, places in merged.items():
-                least, greatest = places[0][3], places[0][4]
-                spans = [(least, greatest)] if len(places) > 1 else _spans(found.get(key, set()))
-                for one, other, p, *_ in places:
-                    rows.extend((one, other, p - high, p - low + length) for low, high in spans)
+                least, greatest = places[0][5], places[0][6]
+                spans = [(least, greatest)] if len(places) > 1 or places[0][4] > 1 else _spans(found.get(key, set()))
+                for one, other, p, last, *_ in places:
+                    rows.extend((one, other, p - high, last - low + length) for low, high in spans)
 
         block: list[tuple] = []
         ahead: list[int] = []
@@ -382,13 +428,13 @@ def union_of(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def mark_repeats(docs: DataFrame, length: int = LENGTH, span: int = SPAN, text: str = "text") -> DataFrame:
-    """``docs`` with _spans: null, or the (start, end) in bytes that repeated strings cover, overlaps included."""
+    """row (the columns of ``docs``) and spans: null, or the (start, end) in bytes that repeated strings cover, overlaps included."""
     # a document's key: its id (a place of its own for null) and the hash of its text
-    one = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    keyed = docs.withColumns({"_one": one, "_other": F.xxhash64(F.col(text))})
-    given = keyed.select(F.col("_one").alias("one"), F.col("_other").alias("other"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    spans = repeated_ranges(given, length, span).groupBy("one", "other").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
-    return keyed.join(spans, (F.col("_one") == F.col("one")) & (F.col("_other") == F.col("other")), "left").drop("_one", "_other", "one", "other")
+    own = docs.select(F.struct("*").alias("row"))
+    keyed = own.withColumns({"_one": F.coalesce(F.col("row")["doc_id"].cast("long"), F.lit(-(2**63))), "_other": F.xxhash64(F.col("row")[text])})
+    given = keyed.select(F.col("_one").alias("one"), F.col("_other").alias("other"), F.coalesce(F.col("row")[text], F.lit("")).cast("binary").alias("text"))
+    spans = repeated_ranges(given, length, span).groupBy("one", "other").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return keyed.join(spans, (F.col("_one") == F.col("one")) & (F.col("_other") == F.col("other")), "left").select("row", "spans")
 
 
 def _cut(data: bytes, spans: list[dict] | None) -> tuple[bytes, list[tuple[int, int]]]:
@@ -407,8 +453,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, span: int = SPAN, text
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else _cut(t.encode("utf-8", "surrogatepass"), list(s))[0].decode("utf-8", "replace") for t, s in zip(texts, spans, strict=True)])
 
-    marked = mark_repeats(docs, length, span, text)
-    return marked.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(cut(F.coalesce(F.col(text), F.lit("")), "_spans"))).select(*docs.columns)
+    old = F.col("row")[text]
+    new = F.when(F.col("spans").isNull(), old).otherwise(cut(F.coalesce(old, F.lit("")), "spans"))
+    return mark_repeats(docs, length, span, text).select(*[(new if c == text else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def digest(marked: DataFrame, text: str = "text") -> DataFrame:
@@ -425,7 +472,7 @@ def digest(marked: DataFrame, text: str = "text") -> DataFrame:
             arrays = [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    given = marked.select(F.col("doc_id").cast("long"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), "_spans")
+    given = marked.select(F.col("row")["doc_id"].cast("long").alias("doc_id"), F.coalesce(F.col("row")[text], F.lit("")).cast("binary").alias("text"), "spans")
     return given.mapInArrow(go, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

@@ -7,9 +7,9 @@ Logs are dealt by conversation, sorted by sequence and folded one event after an
 * ``edit`` replaces the text of the turn it names by ``target`` (the open one if null);
 * ``regenerate`` empties the last assistant turn and what came after it; deltas refill it.
 
-A conversation's turns are then rendered, one piece of text a turn. The fold keeps the open
-conversation alone. ``plain`` input (a table of whole turns) needs no look back: its turns
-leave at once and memory doesn't grow with a conversation; only logs with edits hold one.
+A conversation's turns are then rendered, one piece of text a turn. Turns leave the fold as
+soon as no later edit or regeneration can reach them, so that only a log with such events is
+held back, up to the last of them. A table of whole turns is a log of ``message`` events.
 
 The template is ``<|role|>\n text <|end|>\n``. A backslash goes before each ``\`` and ``<``
 of a text or role (and ``\n``, ``|`` of a role become ``\n``, ``\p``), so that no control
@@ -77,9 +77,14 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 @dataclass
 class Fold:
-    """The turns of one conversation, event by event."""
+    """The turns of one conversation, event by event.
+
+    ``settled`` turns can't change any more: a log says by its kinds whether any edit or
+    regeneration is still to come, and without them only the last turn stays open.
+    """
 
     turns: list[list[str]] = field(default_factory=list)
+    settled: int = 0
 
     def apply(self, kind: str, role: str, text: str, target: int | None = None) -> None:
         if kind == "message":
@@ -90,7 +95,7 @@ class Fold:
             else:
                 self.turns.append([role, text])
         elif kind == "edit":
-            k = len(self.turns) - 1 if target is None else target
+            k = len(self.turns) - 1 if target is None else target - self.settled
             if 0 <= k < len(self.turns):
                 self.turns[k][1] = text
         elif kind == "regenerate":
@@ -101,6 +106,13 @@ class Fold:
         else:
             raise ValueError(f"unknown event {kind!r}")
 
+    def settle(self) -> list[list[str]]:
+        """Hand out all turns but the open one."""
+        done = self.turns[:-1]
+        del self.turns[:-1]
+        self.settled += len(done)
+        return done
+
 
 def _dealt(rows: DataFrame, *order: str) -> DataFrame:
     return rows.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", *order)
@@ -109,33 +121,51 @@ def _dealt(rows: DataFrame, *order: str) -> DataFrame:
 def reconstruct(events: DataFrame) -> DataFrame:
     """Fold events (conv_id, seq, kind, role, text, target) into conv_id, turn, role, text."""
     rows = events.select(F.col("conv_id").cast("long"), F.col("seq").cast("long"), "kind", "role", "text", F.col("target").cast("long"))
+    # where the last event that reaches back stands
+    back = events.filter(F.col("kind").isin("edit", "regenerate")).groupBy(F.col("conv_id").cast("long").alias("_conv")).agg(F.max(F.coalesce(F.col("seq").cast("long"), F.lit(-(2**63)))).alias("_last"))
+    rows = rows.join(back, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, started = None, Fold(), False
+        done: list[tuple] = []
 
-        def out(key, turns):
-            return pa.RecordBatch.from_pydict({
-                "conv_id": pa.array([key] * len(turns), pa.int64()), "turn": pa.array(range(len(turns)), pa.int64()),
-                "role": pa.array([r for r, _ in turns], pa.string()), "text": pa.array([t for _, t in turns], pa.string()),
-            })
+        def close(key: int | None, turns: list[list[str]], first: int) -> None:
+            done.extend((key, first + k, role, text) for k, (role, text) in enumerate(turns))
+
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*done, strict=True)) or [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["conv_id", "turn", "role", "text"])
 
         for batch in batches:
-            for conv, kind, role, text, target in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "kind", "role", "text", "target")), strict=True):
+            for conv, seq, kind, role, text, target, last in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "seq", "kind", "role", "text", "target", "_last")), strict=True):
                 if started and conv != now:
-                    yield out(now, state.turns)
+                    close(now, state.turns, state.settled)
                     state = Fold()
                 now, started = conv, True
                 state.apply(kind or "message", role or "", text or "", target)
+                if last is None or (seq is not None and seq > last):
+                    first = state.settled
+                    close(conv, state.settle(), first)
+            yield out()
         if started:
-            yield out(now, state.turns)
+            close(now, state.turns, state.settled)
+        yield out()
 
     return _dealt(rows, "seq", "kind", "role", "text").mapInArrow(fold, "conv_id long, turn long, role string, text string")
 
 
-def format_turns(turns: DataFrame) -> DataFrame:
+def as_events(turns: DataFrame) -> DataFrame:
+    """The log of whole turns (conv_id, turn, role, text): a ``message`` event for each."""
+    return turns.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text", F.lit(None).cast("long").alias("target"))
+
+
+def format_turns(turns: DataFrame, dealt: bool = False) -> DataFrame:
     """A row for each turn, in order of place: conv_id, place, formatted, loss_from, loss_to (-1: no loss).
 
-    A conversation's text is its rows' ``formatted`` joined by place.
+    A conversation's text is its rows' ``formatted`` joined by place. ``dealt``: the rows come
+    from ``reconstruct``, by conversation and in order, and aren't shuffled again.
     """
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
 
@@ -153,7 +183,8 @@ def format_turns(turns: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["conv_id", "place", "formatted", "loss_from", "loss_to"])
 
-    return _dealt(rows, "turn", "role", "text").mapInArrow(go, "conv_id long, place long, formatted string, loss_from long, loss_to long")
+    rows = rows if dealt else _dealt(rows, "turn", "role", "text")
+    return rows.mapInArrow(go, "conv_id long, place long, formatted string, loss_from long, loss_to long")
 
 
 def digest(formatted: DataFrame) -> DataFrame:
@@ -208,4 +239,4 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = r"\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], rows.schema)
-    return digest(format_turns(rows.unionByName(own)))
+    return digest(format_turns(reconstruct(as_events(rows.unionByName(own))), dealt=True))

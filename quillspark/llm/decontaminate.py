@@ -112,19 +112,21 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_set: int
     """``docs`` without contaminated documents, or with the hit words cut out (``remove="spans"``)."""
     found = hits(docs, items, window, max_set, text).filter(F.size("hit_words") > 0)
     found = found.select(F.col("doc_id").alias("_id"), "_key", "hit_words")
-    keyed = docs.withColumn("_own", F.xxhash64(text_or_empty(text)))
-    same = keyed["doc_id"].eqNullSafe(found["_id"]) & (keyed["_own"] == found["_key"])
+    keyed = docs.select(F.struct("*").alias("row")).withColumn("_own", F.xxhash64(text_or_empty(F.col("row")[text])))
+    same = F.col("row")["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key"))
     if remove == "documents":
-        return keyed.join(found, same, "left_anti").drop("_own")
+        return keyed.join(found, same, "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
     if remove != "spans":
         raise ValueError(f"remove is documents or spans, not {remove!r}")
-    joined = keyed.join(found, same, "left").withColumn("_p", F.regexp_extract_all(text, F.lit(PIECES), F.lit(0)))
+    old = F.col("row")[text]
+    joined = keyed.join(found, same, "left").withColumn("_p", F.regexp_extract_all(old, F.lit(PIECES), F.lit(0)))
     first = F.expr(r"CASE WHEN get(_p, 0) rlike '^[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]' THEN 1 ELSE 0 END")
     joined = joined.withColumn("_f", first).withColumn("_gone", F.transform("hit_words", lambda i: i * 2 + F.col("_f")))
     # a hit word goes with the separator that follows it
     left = F.expr("array_except(sequence(0, greatest(size(_p) - 1, 0)), concat(_gone, transform(_gone, i -> i + 1)))")
     cut = F.array_join(F.transform(left, lambda i: F.get(F.col("_p"), i)), "")
-    return joined.withColumn(text, F.when(F.col("hit_words").isNull(), F.col(text)).otherwise(cut)).drop("_own", "_id", "_key", "hit_words", "_p", "_f", "_gone")
+    new = F.when(F.col("hit_words").isNull(), old).otherwise(cut)
+    return joined.select(*[(new if c == text else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,7 +143,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add license_sentences (identifiers in order), licenses (names in the order of RULES) and n_license_sentences."""
     whole = text_or_empty(text)
     empty = F.array().cast("array<string>")
-    df = docs.withColumn("_n", F.when(F.lower(whole).rlike(HINTS), _normalised(whole)).otherwise(empty))
+    df = docs.select(F.struct("*").alias("row"), whole.alias("_t"))
+    whole = F.col("_t")
+    df = df.withColumn("_n", F.when(F.lower(whole).rlike(HINTS), _normalised(whole)).otherwise(empty))
     df = df.withColumn("_i", F.transform("_n", _name))
     for n in WRAPPED:
         df = df.withColumn(f"_j{n}", _across(n))
@@ -171,7 +173,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         names.append(F.when(free, F.lit(licence)))
         before[family] = before[family] | hit if family in before else hit
     df = df.withColumn("licenses", F.when(F.size("license_sentences") == 0, empty).otherwise(F.array_compact(F.array(*names))))
-    return df.withColumn("n_license_sentences", F.size("license_sentences").cast("long")).drop("_s")
+    df = df.withColumn("n_license_sentences", F.size("license_sentences").cast("long"))
+    own = ["license_sentences", "licenses", "n_license_sentences"]
+    return df.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in own], *own)
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,7 +64,7 @@ RULES = (
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and the line and word counts of RULES."""
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
-    df = docs.withColumn("_t", text_or_empty(text))
+    df = docs.select(F.struct("*").alias("row"), text_or_empty(text).alias("_t"))
     df = df.withColumns({
         "_w": F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)),
         "_lines": F.expr(r"filter(split(_t, '\n', -1), l -> l rlike '[^\\x20\\x09-\\x0D]')"),
@@ -84,7 +84,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     })
     df = df.withColumn("_p", F.expr("sort_array(transform(filter(_g, (x, k) -> (k > 0 and get(_g, k - 1).h = x.h) or coalesce(get(_g, k + 1).h = x.h, false)), x -> x.i))"))
     covered = "aggregate(transform(_p, (p, k) -> coalesce(least(3, get(_p, k + 1) - p), 3)), 0L, (a, x) -> a + x)"
-    return df.withColumn("n_repeat_words", F.expr(covered)).drop("_t", "_w", "_lines", "_g", "_p")
+    df = df.withColumn("n_repeat_words", F.expr(covered))
+    own = [c for c in df.columns if c not in ("row", "_t", "_w", "_lines", "_g", "_p")]
+    return df.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in own], *own)
 
 
 def apply_rules(measured: DataFrame, base: tuple[Rule, ...] = BASE_RULES, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, unused
 
 CACHED_PIECES = 800_000
 CHUNK_CHARS = 4_000_000
@@ -233,7 +233,9 @@ def add_counts(
             yield pd.DataFrame(rows, columns=columns)
 
     whole = F.coalesce(F.col(text), F.lit("")) if isinstance(text, str) else text
-    return docs.withColumn("_c", count(whole)).select(*[F.col(c) for c in docs.columns if c not in ("n_tokens", "fit_chars")], "_c.*")
+    (own,) = unused(docs, "_c")
+    names = [c.split()[0] for c in kind.split(", ")]
+    return docs.withColumn(own, count(whole)).select(*[F.col(c) for c in docs.columns if c not in names], f"{own}.*")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

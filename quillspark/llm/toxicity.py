@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, unused
 
 TOKEN = re.compile(r"[^\W_]+")
 BITS = 18
@@ -321,8 +321,9 @@ def add_scores(docs: DataFrame, model: Model, text: str = "text", spans: bool =
                 out["toxic_spans"] = [[{"start": a, "end": b} for a, b in x] for x in found]
             yield out
 
-    keep = [F.col(c) for c in docs.columns if c not in ("score", "toxic_spans")]
-    return docs.withColumn("_s", go(F.coalesce(F.col(text), F.lit("")))).select(*keep, "_s.*")
+    keep = [F.col(c) for c in docs.columns if c != "score" and not (spans and c == "toxic_spans")]
+    (own,) = unused(docs, "_s")
+    return docs.withColumn(own, go(F.coalesce(F.col(text), F.lit("")))).select(*keep, f"{own}.*")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -209,6 +209,36 @@ def test_suffixes(spark, odd, none):
     assert suffixes.digest(suffixes.mark_repeats(none)).count() == 0 and suffixes.remove_repeats(odd).columns == odd.columns
 
 
+def test_suffixes_of_long_periodic_texts(spark):
+    """Megabytes of one byte or pattern are a few ranges; a passage in every document leaves all of them."""
+    r = random.Random(3)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(450))
+    prose = lambda n: "".join(r.choice("ijklmnop ") for _ in range(n))
+    texts = ["a" * 20_000_000, "a" * 401, "b" + "a" * 400 + "c", "a" * 399 + "d", ("xyz " * 2_000_000) + prose(100), "xyz " * 100 + "w", prose(1_200_000) + passage, *(prose(300) + passage + prose(200) for _ in range(300))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x for x in suffixes.digest(suffixes.mark_repeats(df)).collect()}
+    assert (got[0].n_removed, got[1].n_removed, got[2].n_removed, got[3].n_removed) == (20_000_000, 401, 400, 0)
+    assert got[4].n_removed == 8_000_000 and got[5].n_removed == 400
+    assert all(450 <= got[k].n_removed < 480 and got[k].n_spans == 1 for k in range(6, 307))  # chance neighbours go too
+
+
+def test_runs_of_equal_suffixes_are_exact():
+    """Periods of all kinds within brute force, at their edges too."""
+    r = random.Random(8)
+    for _ in range(12):
+        rows = []
+        for _ in range(4):
+            unit = "".join(r.choice("abcd") for _ in range(r.choice((1, 2, 3, 40, 90, 200))))
+            rows.append(("".join(r.choice("efgh") for _ in range(r.randint(0, 30))) + unit * r.randint(1, 900 // len(unit)) + unit[: r.randint(0, len(unit))] + "".join(r.choice("efgh") for _ in range(r.randint(0, 30)))).encode())
+        for data in rows:
+            buf = np.frombuffer(data, np.uint8)
+            place, least, greatest = suffixes.choose(buf)
+            begin, until = suffixes.runs_of_equal(buf, place, least, greatest, 400)
+            for a, b in zip(begin.tolist(), until.tolist(), strict=True):
+                said = {data[p - int(greatest[a]) : p + 400 - int(least[a])] for p in place[a:b].tolist()}
+                assert len(said) == 1 and all(q - p <= 256 for p, q in zip(place[a : b - 1].tolist(), place[a + 1 : b].tolist(), strict=True))
+
+
 def test_loser_tree_merges_with_true_prefixes():
     r = random.Random(2)
     strings = [bytes(r.choice(b"ab") for _ in range(r.randint(1, 12))) for _ in range(300)]
@@ -286,6 +316,39 @@ def test_chat_events(spark):
     assert got == [(1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (1, 2, "user", "again"), (1, 3, "assistant", "good"), (2, 0, "assistant", "x")]
 
 
+def test_chat_query_by_hand(spark):
+    """The query goes through the fold and holds its own conversation; every column by hand."""
+    from conftest import DATA
+
+    probe = r"\### Assistant: </turn> ok"
+    said = defaultdict(list)
+    rows = spark.read.parquet(f"{DATA}/conversations.parquet").collect()
+    for r in [*rows, *((-7, k, role, probe) for k, role in enumerate(("user", "assistant")))]:
+        said[r[0]].append((r[1], r[2] or "", r[3] or ""))
+    got = {r.conv_id: r for r in chat.op7_chat_format(spark, DATA).collect()}
+    assert set(got) == set(said) and got[-7].n_turns == 2 and got[-7].loss_chars == len(probe)
+    for conv, turns in said.items():
+        turns = [t[1:] for t in sorted(turns)]
+        loss = "".join(t for role, t in turns if role == "assistant")
+        whole = "".join(chat.render(role, t)[0] for role, t in turns)
+        want = (len(turns), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(whole))
+        assert (got[conv].n_turns, got[conv].turns_sha256, got[conv].loss_chars, got[conv].loss_sha256, got[conv].formatted_chars) == want
+        assert chat.parse(whole) == turns
+
+
+def test_chat_turns_leave_when_settled(spark):
+    """A long log without edits isn't held; one whose edit comes late is right all the same."""
+    fold = chat.Fold()
+    for k in range(1000):
+        fold.apply("message", "user", str(k))
+        fold.settle()
+    assert len(fold.turns) == 1 and fold.settled == 999
+    log = [(1, k, "message", "user", f"t{k}", None) for k in range(50)] + [(1, 50, "edit", "user", "new", 3), (1, 51, "delta", "assistant", "a", None), (1, None, "edit", "user", "lost", 7), (2, 0, "message", "user", "x", None)]
+    df = spark.createDataFrame(log, "conv_id long, seq long, kind string, role string, text string, target long")
+    got = {(r.conv_id, r.turn): r.text for r in chat.reconstruct(df).collect()}
+    assert got == {(1, k): ("new" if k == 3 else f"t{k}") for k in range(50)} | {(1, 50): "a", (2, 0): "x"}
+
+
 # 8 ------------------------------------------------------------------------------------
 
 
@@ -421,6 +484,23 @@ def test_components(spark):
 # all ----------------------------------------------------------------------------------
 
 
+def test_no_name_of_an_operators_own_clashes(spark, tmp_path):
+    """Every operator carries columns named like its inner ones through."""
+    names = "row _t _h _l _left _all _later _id _key _m _t2 _own _w _g _p _lines _f _gone one other _one _other spans _spans _c _s _n _i _j2 _j3 gone _d place line own prefix_chars places".split()
+    texts = ["same line here now 1\nother", "same line here now 2", "same line here now 3", None, "two words and more", "a" * 900]
+    df = spark.createDataFrame([(k, t, *(f"{n}{k}" for n in names)) for k, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    items = spark.createDataFrame([(1, "two words")], "item_id long, text string")
+    model = toxicity.Model(None, None, None, 0.0)
+    results = {
+        "lines": lines.drop_recurring(df, report=True), "quality": quality.apply_rules(quality.measure(df)), "documents": decontaminate.clean(df, items), "spans": decontaminate.clean(df, items, remove="spans"),
+        "suffixes": suffixes.remove_repeats(df), "tokens": tokens.add_counts(df, "word_bpe_49k.json"), "licenses": licenses.scan(df), "toxicity": toxicity.add_scores(df, model), "minhash": minhash.keep_one(df),
+    }
+    for name, out in results.items():
+        rows = out.collect()
+        assert len(rows) == len(texts) - (name == "documents"), name
+        assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names), name
+
+
 def test_checkpoint_folder_of_the_cluster_stays(spark):
     before = spark.sparkContext.getCheckpointDir()
     common.with_checkpoint_dir(spark)

@@ -4,8 +4,9 @@ The tokenizers cut a text at every lone blank or line feed between two other cha
 before they look at anything else, so the pieces between such places are encoded apart and
 their counts add up: ``count[0] = 0; count[k] = count[k - 1] + tokens(piece k)``. That
 table of prefixes answers "how many tokens do the first n characters have" and "how far
-does a budget reach" without encoding the text again; inside a piece, one short encoding of
-the piece's own prefix closes the gap. Pieces recur, so that each worker keeps a bounded
+does a budget reach" without encoding the text again; inside a piece, a table of the piece's
+own prefixes closes the gap, made once for each distinct piece (of at most TABLE_CHARS
+characters; a longer word is encoded up to the place asked for). Pieces recur, so that each worker keeps a bounded
 cache of them; for byte-level vocabularies, words of letters go through the merges many at a
 time, the marks behind them apart. A text with white space of any other kind (several blanks in a
 row, tabs, control characters) is cut before each run of white space that follows something else;
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import table, unused
 
 CACHED_PIECES = 800_000
+#: Tables of prefixes inside pieces that are kept, and the longest piece that gets one.
+CACHED_TABLES, TABLE_CHARS = 100_000, 64
 CHUNK_CHARS = 4_000_000
 #: White space other than blanks and line feeds.
 OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
@@ -78,6 +81,7 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self.blank_leads = blank_leads
         self.cache: dict[str, bytes] = {}
+        self.within: dict[str, np.ndarray] = {}
         self.stand_in = None
         if blank_leads:  # the same merges for words whose bytes are mapped already
             self.words = Tokenizer.from_file(path)
@@ -136,6 +140,16 @@ class PieceEncoder:
         rest = list(new)
         cache.update(zip(rest, self.encode_many(rest) if rest else [], strict=True))
 
+    def inside(self, piece: str) -> np.ndarray:
+        """Tokens of each prefix of a piece, by its characters; found once for each distinct piece."""
+        counts = self.within.get(piece)
+        if counts is None:
+            if len(self.within) >= CACHED_TABLES:
+                self.within.clear()
+            ids = self.encode_many([piece[:k] for k in range(1, len(piece) + 1)])
+            counts = self.within[piece] = np.array([0, *(len(x) >> 2 for x in ids)], np.int32)
+        return counts
+
     def ids(self, text: str) -> bytes:
         own = self.pieces(text)
         if len(own) == 1:
@@ -196,12 +210,17 @@ class PrefixCounts:
         ends = self.ends()
         k = int(np.searchsorted(ends, chars, side="right")) - 1
         start = int(ends[k])
-        if len(self.pieces) == 1 or k == len(ends) - 1:
-            return self.total if chars >= len(self.text) else len(self.enc.encode_many([self.text[:chars]])[0]) >> 2
-        rest = self.text[start:chars]
-        if self.bare:
-            rest = rest.lstrip(" \n")
-        return int(self.counts[k]) + (len(self.enc.encode_many([rest])[0]) >> 2 if rest else 0)
+        if chars >= len(self.text) or k == len(ends) - 1:
+            return self.total
+        rest = chars - start
+        if self.bare and k:  # a blank that no piece holds
+            rest -= 1
+        piece = self.pieces[k]
+        if rest <= 0:
+            return int(self.counts[k])
+        if len(piece) <= TABLE_CHARS:
+            return int(self.counts[k] + self.enc.inside(piece)[rest])
+        return int(self.counts[k]) + (len(self.enc.encode_many([piece[:rest]])[0]) >> 2)
 
     def reach(self, budget: int) -> int:
         """The most whole pieces' characters that need at most ``budget`` tokens."""

@@ -85,26 +85,129 @@ def indicators(docs: DataFrame, key: str, text: str = "text", limit: int = INDIC
     """
     t = F.col("_t")
     cut = lambda x: F.regexp_replace(x, r"[.,;)]+$", "")
+    empty = F.array().cast("array<struct<rank:int,kind:string,value:string,severity:int,line:int>>")
     parts = []
+
+    def on_line(rank: int, kind: str, severity: int, pattern: str):
+        def found(value: Column, k: Column) -> Column:
+            source = F.regexp_replace(value, INDICATORS[0][2], " ") if kind == "domain" else value
+            out = F.transform(F.regexp_extract_all(source, F.lit(pattern), F.lit(0)), cut)
+            if kind == "domain":
+                ending = lambda x: F.lower(F.regexp_extract(F.split(F.split(x, "/").getItem(0), ":").getItem(0), r"\.([^.]+)$", 1))
+                out = F.filter(out, lambda x: ending(x).isin(*DOMAIN_ENDINGS))
+            return F.transform(out, lambda x: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x.alias("value"), F.lit(severity).alias("severity"), (k + 1).alias("line")))
+
+        return found
+
     for rank, (kind, severity, pattern) in enumerate(INDICATORS):
-        source = F.regexp_replace(t, INDICATORS[0][2], " ") if kind == "domain" else t
-        found = F.transform(F.regexp_extract_all(source, F.lit(pattern), F.lit(0)), cut)
-        if kind == "domain":
-            ending = lambda x: F.lower(F.regexp_extract(F.split(F.split(x, "/").getItem(0), ":").getItem(0), r"\.([^.]+)$", 1))
-            found = F.filter(found, lambda x: ending(x).isin(*DOMAIN_ENDINGS))
-        if kind == "email":
-            found = F.when(F.contains(t, F.lit("@")), found).otherwise(F.array().cast("array<string>"))
-        parts.append(F.transform(found, _as_row(kind, severity, rank)))
+        # no indicator holds a line end, so that each is found on its own line; texts without any aren't cut
+        found = F.flatten(F.transform(F.split(t, "\n", -1), on_line(rank, kind, severity, pattern)))
+        hit = F.contains(t, F.lit("@")) if kind == "email" else t.rlike(pattern)
+        parts.append(F.when(hit, found).otherwise(empty))
+    df = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    df = df.select(key, F.concat(*parts).alias("_all"))
+    # each (kind, value) once, found by hash; the first of each of the ``limit`` that stay
+    names = F.slice(F.array_distinct(F.transform("_all", lambda x: F.struct(x["kind"].alias("kind"), F.lower(x["value"]).alias("low")))), 1, limit)
+    first = F.transform(names, lambda n: F.get(F.filter("_all", lambda y: (y["kind"] == n["kind"]) & (F.lower(y["value"]) == n["low"])), 0))
+    df = df.select(key, F.posexplode(first).alias("seq", "i"))
+    return df.select(key, "seq", "i.kind", "i.value", "i.severity", "i.line")
+
+
+#: Literals that may be encoded text.
+BASE64_LITERAL = r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{16,}={0,2})(?![A-Za-z0-9+/])"
+HEX_LITERAL = r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){8,}(?![0-9A-Fa-f])"
+DECODED_LIMIT, DECODED_BYTES = 80, 512
+
+
+def _printable(raw: Column) -> Column:
+    """Bytes as printable text of four characters or more, else null."""
+    said = F.trim(F.regexp_replace(F.decode(raw, "UTF-8"), r"[\p{C}\p{Z}&&[^ \r\n\t]]", ""))
+    return F.when((F.octet_length(raw) <= DECODED_BYTES) & F.is_valid_utf8(raw.cast("string")) & (F.length(said) >= 4), said)
+
+
+def decoded_literals(docs: DataFrame, key: str, text: str = "text", limit: int = DECODED_LIMIT) -> DataFrame:
+    """key, seq, encoding, source, decoded, line of literals that decode to printable text; nothing is run.
+
+    Base64 before hex, each in order of place; at most ``limit`` of a text; the line is that of the literal's first place.
+    """
     df = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    df = df.select(key, "_t", F.concat(*parts).alias("_all"))
-    # the first of each (kind, value) stays
-    first = F.filter("_all", lambda x, k: ~F.exists(F.slice(F.col("_all"), F.lit(1), k), lambda y: (y["kind"] == x["kind"]) & (F.lower(y["value"]) == F.lower(x["value"]))))
-    df = df.select(key, "_t", F.posexplode(F.slice(first, 1, limit)).alias("seq", "i"))
-    return df.select(key, "seq", "i.kind", "i.value", "i.severity", line_of(F.col("_t"), F.expr("locate(i.value, _t)")).alias("line"))
+    each = lambda name, pattern, ok, fmt: F.transform(F.filter(F.regexp_extract_all("_t", F.lit(pattern), F.lit(0)), ok), lambda x: F.struct(F.lit(name).alias("encoding"), x.alias("source"), _printable(F.try_to_binary(x, F.lit(fmt))).alias("decoded")))
+    found = F.concat(each("base64", BASE64_LITERAL, lambda x: F.length(x) % 4 == 0, "base64"), each("hex", HEX_LITERAL, lambda x: F.length(x) % 2 == 0, "hex"))
+    df = df.select(key, "_t", F.posexplode(F.slice(F.filter(found, lambda x: x["decoded"].isNotNull()), 1, limit)).alias("seq", "x"))
+    return df.select(key, "seq", "x.*", line_of(F.col("_t"), F.expr("locate(x.source, _t)")).alias("line"))
+
+
+def decoded_indicators(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Decoded literals that hold an address, a URL or a domain."""
+    kinds = {k: p for k, _, p in INDICATORS}
+    return decoded_literals(docs, key, text).filter(F.col("decoded").rlike(kinds["url"]) | F.col("decoded").rlike(kinds["ip"]) | F.col("decoded").rlike(kinds["domain"]))
+
+
+def char_codes(values: Column) -> Column:
+    """The text of a list of character codes (decimal or hex, at most 512), or null."""
+    parts = F.transform(F.split(values, ","), lambda x: F.lower(F.trim(x)))
+    number = lambda x: F.when(x.startswith("0x"), F.conv(F.substring(x, 3, 8), 16, 10)).otherwise(x).try_cast("long")
+    ok = (F.size(parts) <= 512) & F.forall(parts, lambda x: x.rlike("^(?:0x[0-9a-f]{1,8}|[0-9]{1,6})$") & (number(x) <= 0x10FFFF) & ~number(x).between(0xD800, 0xDFFF))
+    one = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return F.when(ok, F.array_join(F.transform(parts, lambda x: one(number(x))), ""))
+
+
+def byte_entropy(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, entropy: Shannon entropy in bits of a text's bytes, to three places (0 for an empty one)."""
+    raw = F.hex(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    df = docs.select(key, raw.alias("_h")).select(key, F.explode_outer(F.regexp_extract_all("_h", F.lit(".."), F.lit(0))).alias("b"))
+    counts = df.groupBy(key, "b").agg(F.count("b").alias("n"))
+    # sum of -p log p from counts alone
+    return counts.groupBy(key).agg(F.sum("n").alias("s"), F.sum(F.when(F.col("n") > 0, F.col("n") * F.log2("n")).otherwise(0.0)).alias("w")).select(key, F.when(F.col("s") > 0, F.round(F.log2("s") - F.col("w") / F.col("s"), 3)).otherwise(F.lit(0.0)).alias("entropy"))
+
+
+#: Risky interfaces of Java code, and what a reviewer looks for line by line.
+JAVA_APIS = {
+    "command_execution": r"\b(?:Runtime\.getRuntime|ProcessBuilder|\.exec|GroovyShell|ScriptEngine)\b",
+    "deserialization": r"\b(?:ObjectInputStream|readObject|XMLDecoder|XStream|Yaml\.load|SnakeYAML)\b",
+    "xml_external_entity": r"\b(?:DocumentBuilderFactory|SAXParserFactory|XMLInputFactory|TransformerFactory|SchemaFactory)\b",
+    "path_access": r"\b(?:FileInputStream|FileOutputStream|ZipEntry|Paths\.get|Path\.of|getCanonicalPath)\b",
+    "injection_sink": r"\b(?:Statement\.execute|executeQuery|executeUpdate|createQuery|ExpressionFactory|\.eval)\b",
+    "web_input_output": r"\b(?:getParameter|getHeader|sendRedirect|getWriter|\.print|\.write)\b",
+}
+REVIEWED = {
+    "Command Execution": r"(?i)\b(eval|exec|system|popen|subprocess|child_process|powershell|cmd\.exe|/bin/sh)\b",
+    "Network Access": r"(?i)(https?://|requests\.|urllib|fetch\s*\(|socket\.|curl\b|wget\b)",
+    "Credential Collection": r"(?i)(\.ssh|\.aws|\.npmrc|\.pypirc|id_rsa|credentials|wallet|process\.env|os\.environ)",
+    "Install Hook Execution": r"(?i)\b(preinstall|postinstall|postInstall|cmdclass|setup_requires|build_ext)\b",
+    "Obfuscated Payload": r"(?i)(base64|b64decode|fromcharcode|\\x[0-9a-f]{2}|[A-Za-z0-9+/]{100,}={0,2})",
+    "Sensitive File Access": r"(?i)(passwd|shadow|\.env\b|\.git-credentials|browser|cookies|keychain)",
+    "Persistence": r"(?i)(startup|crontab|systemd|registry|\.pth\b|site-packages)",
+    "Dynamic Download": r"(?i)(download|urlretrieve|writefile|response\.content|Invoke-WebRequest)",
+}
+FUNCTIONS = (
+    r"\b(?:def|function|func|fun)\s+([A-Za-z_][A-Za-z0-9_]*)",
+    r"\b(?:public|private|protected|internal|static|async|virtual|override|final)\s+(?:[A-Za-z_$][A-Za-z0-9_$<>\[\],.?]*\s+)+([A-Za-z_$][A-Za-z0-9_$]*)\s*\(",
+    r"(?m)^\s*(?:[A-Za-z_][A-Za-z0-9_]*\s+)+([A-Za-z_][A-Za-z0-9_]*)\s*\([^;{}]*\)\s*\{",
+)
+
+
+def java_api_hits(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, category, n of the risky interfaces that a text names."""
+    counted = F.array(*[F.struct(F.lit(k).alias("category"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(p)).alias("n")) for k, p in JAVA_APIS.items()])
+    return docs.select(key, F.explode(counted).alias("x")).select(key, "x.*").filter("n > 0")
 
 
-def _as_row(kind: str, severity: int, rank: int):
-    return lambda x: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x.alias("value"), F.lit(severity).alias("severity"))
+def function_names(code: Column) -> Column:
+    """Names of functions by three patterns, each once, in order of pattern and place."""
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(code, F.lit(p), F.lit(1)) for p in FUNCTIONS]))
+
+
+TOKENS = r"[A-Za-z_][A-Za-z0-9_.-]{1,}|--?[A-Za-z][A-Za-z0-9_-]*"
+
+
+def scaled_buckets(docs: DataFrame, key: str, text: str = "text", buckets: int = 64, limit: int = 12_000) -> DataFrame:
+    """key, bucket, weight: log1p of the count of a bucket's tokens over that of the fullest one."""
+    tokens = F.slice(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKENS), F.lit(0)), 1, limit)
+    bucket = F.conv(F.substring(F.sha2("token", 256), 1, 8), 16, 10).cast("long") % buckets
+    counts = docs.select(key, F.explode(tokens).alias("token")).groupBy(key, bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    most = counts.groupBy(key).agg(F.max("n").alias("most"))
+    return counts.join(most, key).select(key, "bucket", (F.log1p("n") / F.log1p("most")).alias("weight"))
 
 
 def chains(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

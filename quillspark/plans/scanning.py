@@ -23,18 +23,20 @@ def docs(s, d, *cols):
     return table(s, d, "documents").select("doc_id", *cols)
 
 
+#: Code appended to every 9th document, so that rules and chains have what to find.
+SNIPPETS = [
+    "password = \"correct horse battery\"\nrequests.post(url, data=password)",
+    "x = base64.b64decode(blob)\n" + "pad\n" * 3 + "eval(x)",
+    "curl https://files.example.com/run.sh\n" + "line\n" * 39 + "subprocess.Popen(cmd)",
+    "curl https://files.example.com/run.sh\n" + "line\n" * 40 + "subprocess.Popen(cmd)",
+    "eval(x)\nbase64 data",
+    "os.walk(root)\nencryptor.encrypt(b)\nencryptor.encrypt(c)\nos.remove(f)\nvssadmin delete shadows",
+    "verify=False\nAES MODE_ECB\njwt.decode(t, verify=False)",
+]
+
+
 def code(s, d):
-    """Documents with code appended to every 9th, so that rules and chains have what to find."""
-    snippets = [
-        "password = \"correct horse battery\"\nrequests.post(url, data=password)",
-        "x = base64.b64decode(blob)\n" + "pad\n" * 3 + "eval(x)",
-        "curl https://files.example.com/run.sh\n" + "line\n" * 39 + "subprocess.Popen(cmd)",
-        "curl https://files.example.com/run.sh\n" + "line\n" * 40 + "subprocess.Popen(cmd)",
-        "eval(x)\nbase64 data",
-        "os.walk(root)\nencryptor.encrypt(b)\nencryptor.encrypt(c)\nos.remove(f)\nvssadmin delete shadows",
-        "verify=False\nAES MODE_ECB\njwt.decode(t, verify=False)",
-    ]
-    pick = F.element_at(F.array(*[F.lit(x) for x in snippets]), (F.pmod(F.floor(F.col("doc_id") / 9), F.lit(len(snippets))) + 1).cast("int"))
+    pick = F.element_at(F.array(*[F.lit(x) for x in SNIPPETS]), (F.pmod(F.floor(F.col("doc_id") / 9), F.lit(len(SNIPPETS))) + 1).cast("int"))
     return docs(s, d, "text").withColumn("text", F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit("\n"), pick)).otherwise(F.col("text")))
 
 
@@ -75,7 +77,28 @@ def _kinds(names):
 
 
 _LINES = "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS value, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents)"
+_quote = lambda x: "'" + x.replace("'", "''") + "'"
+_CODE = "c AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN text || chr(10) || [" + ", ".join(map(_quote, SNIPPETS)) + f"][doc_id // 9 % {len(SNIPPETS)} + 1] ELSE text END AS text FROM documents)"
+#: Lines end where Python's own cut them.
+_CODE_LINES = _CODE + r""", s AS MATERIALIZED (SELECT doc_id, string_split_regex(regexp_replace(text, '(\r\n|[\n\r\v\f\x1c-\x1e\x{85}\x{2028}\x{2029}])$', ''), '\r\n|[\n\r\v\f\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS ls FROM c), l AS MATERIALIZED (SELECT doc_id, unnest(ls) AS value, unnest(range(1, len(ls) + 1)) AS line FROM s)"""
+_values = lambda rows: ", ".join("(" + ", ".join(_quote(x) if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+_CHAINS = f"""WITH {_CODE_LINES}, g(grp, pattern) AS (VALUES {_values(scan.GROUPS.items())}), h AS (SELECT doc_id, grp, line FROM l, g WHERE regexp_matches(value, pattern)),
+  k(lft, rgt, category, rule_id, severity, risk_type) AS (VALUES {_values([(c[0], c[1], c[2], c[3], c[4], c[5]) for c in scan.CHAINS])}),
+  p AS (SELECT a.doc_id, rule_id, category, severity, risk_type, a.line AS left_at, min(b.line) AS right_at FROM k JOIN h a ON a.grp = lft JOIN h b ON b.grp = rgt AND b.doc_id = a.doc_id AND b.line >= a.line GROUP BY ALL)
+  SELECT doc_id, rule_id, CAST(left_at AS INTEGER) AS left_at, CAST(right_at AS INTEGER) AS right_at, CAST(right_at - left_at AS INTEGER) AS gap, category, severity, risk_type FROM p WHERE right_at - left_at <= {scan.CHAIN_GAP} QUALIFY row_number() OVER (PARTITION BY doc_id, rule_id ORDER BY right_at - left_at, left_at) = 1"""
+#: The other engine has no look behind: one character is matched instead, and longer ones are counted off.
+_no_look = lambda p: p.replace(r"(?<![\w.])", r"(?:^|[^\w.])")
+_hit = lambda p: f"len(regexp_extract_all(value, {_quote(p.replace(chr(40) + '?<!def' + chr(92) + 's)', ''))})) > len(regexp_extract_all(value, {_quote(p.replace(chr(40) + '?<!def' + chr(92) + 's)', 'def' + chr(92) + 's'))}))" if "(?<!def" in p else f"regexp_matches(value, {_quote(p)})"
+_rule = lambda r: f"SELECT doc_id, '{r[0]}' AS rule_id, '{r[1]}' AS risk_type, {_quote(r[2])} AS category, {r[3]} AS severity, '{r[4]}' AS cwe, CAST(line AS INTEGER) AS line, substr(trim(value), 1, 180) AS snippet FROM l WHERE regexp_matches(value, {_quote(_no_look(r[5]))})"
+_RULES = f"WITH {_CODE_LINES}, f AS ({' UNION ALL '.join(map(_rule, rules.RULES))})"
+_API = "CASE category " + " ".join(f"WHEN {_quote(c)} THEN {_quote(n)}" for c, n in rules.API_SECURITY.items()) + " END"
+_DOMAINS = "array_to_string(list_filter(['application', CASE WHEN api_security IS NOT NULL THEN 'api' END, " + ", ".join(f"CASE WHEN category IN ({', '.join(map(_quote, c))}) THEN {_quote(d)} END" for d, c in rules.DOMAINS.items()) + "], lambda x: x IS NOT NULL), ',')"
 SQL = {
+    "risk_signals": f"WITH {_CODE}, g(signal, pattern) AS (VALUES {_values(scan.SIGNALS.items())}) SELECT signal, count(*) AS n FROM c, g WHERE regexp_matches(text, pattern) GROUP BY signal",
+    "behavior_chains": _CHAINS,
+    "destruction_chain": f"WITH {_CODE_LINES} SELECT * FROM (SELECT doc_id, " + ", ".join(f"CAST({'min' if w == 'first' else 'max'}(line) FILTER ({_hit(p)}) AS INTEGER) AS \"{n}\"" for n, p, w in scan.DESTRUCTION) + " FROM l GROUP BY doc_id) WHERE " + " AND ".join(f'"{n}" IS NOT NULL' for n, _, _ in scan.DESTRUCTION),
+    "rule_scan": f"{_RULES}, a AS (SELECT *, {_API} AS api_security FROM f) SELECT *, {_DOMAINS} AS domains FROM a",
+    "rule_hits_by_category": f"{_RULES} SELECT category, cwe, count(*) AS n, max(severity) AS severity FROM f GROUP BY ALL",
     "line_findings": f"{_LINES} SELECT kind, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM ({_kinds(KINDS)}) GROUP BY kind",
     "line_findings_rows": f"{_LINES} {_kinds(('email', 'address', 'license'))}",
     "rule_coverage": "SELECT * FROM (VALUES " + ", ".join(f"('{c}', CAST({len(i)} AS BIGINT))" for c, _, i in rules.TOP_TEN) + ") t(category, n_rules)",

@@ -10,15 +10,16 @@ from quillspark.plans.evaluation import SCORED, scored, table
 #: Paths made from a document's id: folders, a suffix and a name that recur.
 _FOLDERS = ("src", "tests", "vendor", "lib", "Docs", "node_modules")
 _ENDS = ("main.go", "util_test.go", "index.php", "user_test.php", "App.java", "setup.py")
-_PATH = F.concat_ws("/", F.lit("proj"), F.element_at(F.array(*map(F.lit, _FOLDERS)), (F.col("doc_id") % 6 + 1).cast("int")), (F.col("doc_id") % 4).cast("string"), F.element_at(F.array(*map(F.lit, _ENDS)), (F.col("doc_id") % 7 % 6 + 1).cast("int")))
 _SQL_LIST = lambda x: "[" + ", ".join(f"'{v}'" for v in x) + "]"
 _SQL_PATH = f"'proj/' || {_SQL_LIST(_FOLDERS)}[doc_id % 6 + 1] || '/' || (doc_id % 4) || '/' || {_SQL_LIST(_ENDS)}[doc_id % 7 % 6 + 1]"
-_LANG = F.when(F.col("doc_id") % 2 == 0, "go").otherwise("php")
 _SQL_LANG = "CASE WHEN doc_id % 2 = 0 THEN 'go' ELSE 'php' END"
 
 
 def paths(s, d):
-    return table(s, d, "documents").select("doc_id", _PATH.alias("path"), _LANG.alias("language"))
+    k = F.col("doc_id")
+    pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
+    path = F.concat_ws("/", F.lit("proj"), pick(_FOLDERS, k % 6), (k % 4).cast("string"), pick(_ENDS, k % 7 % 6))
+    return table(s, d, "documents").select("doc_id", path.alias("path"), F.when(k % 2 == 0, "go").otherwise("php").alias("language"))
 
 
 _WP = f"WITH p AS (SELECT doc_id, {_SQL_PATH} AS path, {_SQL_LANG} AS language FROM documents) "

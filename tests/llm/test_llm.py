@@ -477,8 +477,9 @@ def test_components(spark):
     want = components.UnionFind()
     for a, b in edges:
         want.union(a, b)
-    got = {x.node: x.component for x in components.components(spark.createDataFrame(edges, "src long, dst long").repartition(5)).collect()}
-    assert got == {n: want.find(n) for e in edges for n in e if e[0] != e[1]} | {n: want.find(n) for n in got}
+    for last in (components.LAST_LINKS, 0):  # in one task, and by star rounds to the end
+        got = {x.node: x.component for x in components.components(spark.createDataFrame(edges, "src long, dst long").repartition(5), last_links=last).collect()}
+        assert got == {n: want.find(n) for e in edges for n in e if e[0] != e[1]} | {n: want.find(n) for n in got}
 
 
 # all ----------------------------------------------------------------------------------

@@ -33,7 +33,7 @@ def _build(s, d):
 
 
 def _ablation(s, d):
-    n, e = gr.build(files(s, d).filter("seq % 40 = 0"), "source", "path")
+    n, e = _build(s, d)
     return gr.ablation(n, e, "source").filter("n_edges > 0").select("source", "left_out", "n_edges")
 
 
@@ -55,5 +55,5 @@ SQL = {
     "package_edges": "SELECT 'contains' AS type, count(*) AS n FROM documents UNION ALL SELECT 'defines', count(*) FROM documents UNION ALL SELECT 'imports', 2 * count(*) FROM documents UNION ALL SELECT 'calls', count(*) FROM documents WHERE doc_id % 3 = 0",
     "mode_label": "SELECT source, lang FROM (SELECT source, lang, count(*) AS n, min(doc_id) AS f FROM documents GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, f) = 1",
     "dominant_language": "SELECT source, lang FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, lang DESC) = 1",
-    "file_ablation": "WITH f AS (SELECT source, doc_id, 2 + 2 + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS e FROM documents WHERE doc_id % 40 = 0), g AS (SELECT source, sum(e) AS t, count(*) AS c FROM f GROUP BY source) SELECT source, 'file:' || doc_id || '.py' AS left_out, CAST(t - e AS BIGINT) AS n_edges FROM f JOIN g USING (source) WHERE c > 1",
+    "file_ablation": "WITH f AS (SELECT source, doc_id, 2 + 2 + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS e FROM documents), g AS (SELECT source, sum(e) AS t, count(*) AS c FROM f GROUP BY source) SELECT source, 'file:' || doc_id || '.py' AS left_out, CAST(t - e AS BIGINT) AS n_edges FROM f JOIN g USING (source) WHERE c > 1",
 }

@@ -64,7 +64,7 @@ def runs(s, d):
     e = table(s, d, "events")
     p = F.pmod(F.col("event_id") * 7919, F.lit(1000)) / F.lit(1000.0)
     return e.select(F.col("user_id").alias("file"), F.col("event_type").alias("engine"), p.alias("probability"), F.when(F.col("event_id") % 11 == 0, F.lit(0.0)).otherwise(F.lit(0.6)).alias("threshold"),
-                    (F.col("event_id") % 3 == 0).alias("advisory"), F.lit(0.05).alias("low"), F.lit(0.95).alias("high")).filter("probability <> 0.333")
+                    (F.col("event_id") % 3 == 0).alias("advisory"), F.lit(0.05).alias("low"), F.lit(0.95).alias("high"))
 
 
 def sessions(events: DataFrame, by: str, at: str, gap: int) -> DataFrame:
@@ -86,7 +86,8 @@ def _timeline(s, d):
 
 def _append(s, d):
     e = _records(s, d).select("event_id", "user_id")
-    return append_once(e.filter("event_id % 3 = 0"), e.filter("event_id % 2 = 0"), "user_id").groupBy("user_id").agg(F.count("*").alias("n"))
+    # a third of the events is stored already; then all are saved
+    return append_once(e.filter("event_id % 3 = 0"), e, "user_id").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 def _orphans(s, d):
@@ -124,10 +125,10 @@ SQL = {
     "history_statistics": f"WITH {_REC} SELECT event_type, {_LEVEL.format('score')} AS level, count(*) AS n, CAST(sum(score) AS BIGINT) AS score FROM (SELECT * FROM r ORDER BY ts DESC, event_id DESC LIMIT 1000) GROUP BY 1, 2",
     "recent_timeline": "SELECT event_id, user_id, event_type FROM (SELECT * FROM events WHERE event_type <> 'purchase' UNION ALL SELECT * FROM (SELECT * FROM events WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1)) ORDER BY ts DESC, event_id DESC LIMIT 6",
     "latest_state": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
-    "append_once": "WITH a AS (SELECT user_id FROM events WHERE event_id % 3 = 0), b AS (SELECT user_id FROM events WHERE event_id % 2 = 0 AND user_id NOT IN (SELECT user_id FROM a)) SELECT user_id, count(*) AS n FROM (FROM a UNION ALL FROM b) GROUP BY user_id",
+    "append_once": "WITH a AS (SELECT user_id FROM events WHERE event_id % 3 = 0), b AS (SELECT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM a)) SELECT user_id, count(*) AS n FROM (FROM a UNION ALL FROM b) GROUP BY user_id",
     "orphan_jobs": "SELECT o_orderkey, 'interrupted' AS status FROM orders WHERE o_orderstatus = 'P' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')",
     "fill_only_enrichment": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'given' ELSE n_name END AS label FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey",
-    "fuse_decisions": f"""WITH a AS (SELECT user_id AS file, ((event_id * 7919) % 1000) / 1000::DOUBLE AS p, CASE WHEN event_id % 11 = 0 THEN 0.5::DOUBLE ELSE 0.6::DOUBLE END AS t, event_id % 3 = 0 AS adv FROM events WHERE (event_id * 7919) % 1000 <> 333),
+    "fuse_decisions": f"""WITH a AS (SELECT user_id AS file, ((event_id * 7919) % 1000) / 1000::DOUBLE AS p, CASE WHEN event_id % 11 = 0 THEN 0.5::DOUBLE ELSE 0.6::DOUBLE END AS t, event_id % 3 = 0 AS adv FROM events),
       b AS (SELECT *, p >= t AS bad, NOT adv AND NOT (p >= 0.05::DOUBLE AND p <= 0.95::DOUBLE) AS d, CASE WHEN p >= t THEN least(100, greatest(35, round_even(p * 100, 0))) ELSE least(34, round_even(p / t * 34, 0)) END AS risk FROM a),
       g AS (SELECT file, count(*) AS models, count(*) FILTER (d) AS decisive_models, count(*) FILTER (d AND bad) AS nb, count(*) FILTER (d AND NOT bad) AS ng, max(risk) FILTER (d) AS best, max(round_even(p * 64, 0)) FILTER (d) AS torn, max(floor(p * 34)) AS weak, bool_and(adv) AS alla FROM b GROUP BY file),
       h AS (SELECT file, models, decisive_models, CASE WHEN (nb > 0 AND ng > 0) OR decisive_models = 0 THEN 'unknown' WHEN nb > 0 THEN 'malicious' ELSE 'benign' END AS decision,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import languages, text as tx
-from quillspark.operators import curate as cu, rules, scan
+from quillspark.operators import curate as cu, rules, scan, taint
 from quillspark.plans.evaluation import table
 
 #: Patterns without \b, \w or \s mean the same to every regular expression engine.
@@ -40,6 +40,23 @@ def code(s, d):
     return docs(s, d, "text").withColumn("text", F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit("\n"), pick)).otherwise(F.col("text")))
 
 
+#: Flows appended to the documents, one to each: input in a statement, a statement put together in place, a comment only, a path, nothing, a table of its own.
+FLOWS = [
+    ("python", "\nuid = request.args['id']\nq = 'replace ' + uid\ncur.execute(q)"),
+    ("go", '\nid := r.FormValue("id")\ndb.Query(id)'),
+    ("python", "\nuid = request.args['id']\n# cur.execute(uid)"),
+    ("java", '\nString p = req.getParameter("f");\nString q = base + p;\nnew File(q);'),
+    ("java", '\nString p = "f";\nString q = base + p;\nnew File(q);'),
+    ("php", "\n$id = $_COOKIE['id'];\nmysqli_query($id);"),
+]
+
+
+def _flows(s, d):
+    pick = lambda at: F.element_at(F.array(*[F.lit(x[at]) for x in FLOWS]), (F.pmod("doc_id", F.lit(len(FLOWS))) + 1).cast("int"))
+    found = taint.flows(docs(s, d, F.concat("text", pick(1)).alias("text"), pick(0).alias("language")), "doc_id")
+    return found.withColumn("steps", F.array_join(F.transform("steps", lambda x: F.concat(x["kind"], F.lit("|"), x["snippet"])), ";"))
+
+
 def _chain_asof(s, d):
     ev = table(s, d, "events").select("user_id", F.unix_timestamp("ts").alias("at"), "event_type")
     return cu.nearest_following(ev.filter("event_type = 'view'"), ev.filter("event_type = 'purchase'"), ["user_id"], "at", 40 * 3600)
@@ -56,6 +73,7 @@ QUERIES = {
     "rule_scan": lambda s, d: rules.taxonomy(rules.scan_lines(code(s, d), "doc_id")).withColumn("domains", F.array_join("domains", ",")),
     "rule_hits_by_category": lambda s, d: rules.scan_lines(code(s, d), "doc_id").groupBy("category", "cwe").agg(F.count("*").alias("n"), F.max("severity").alias("severity")),
     "rule_coverage": lambda s, d: s.createDataFrame([(c, n, r) for c, n, ids in rules.TOP_TEN for r in ids], "category string, name string, rule_id string").groupBy("category").agg(F.count("*").alias("n_rules")),
+    "data_flows": _flows,
     "indicators": lambda s, d: scan.indicators(docs(s, d, "text"), "doc_id"),
     "behavior_chains": lambda s, d: scan.chains(code(s, d), "doc_id"),
     "destruction_chain": lambda s, d: scan.destruction(code(s, d), "doc_id"),
@@ -93,7 +111,16 @@ _rule = lambda r: f"SELECT doc_id, '{r[0]}' AS rule_id, '{r[1]}' AS risk_type, {
 _RULES = f"WITH {_CODE_LINES}, f AS ({' UNION ALL '.join(map(_rule, rules.RULES))})"
 _API = "CASE category " + " ".join(f"WHEN {_quote(c)} THEN {_quote(n)}" for c, n in rules.API_SECURITY.items()) + " END"
 _DOMAINS = "array_to_string(list_filter(['application', CASE WHEN api_security IS NOT NULL THEN 'api' END, " + ", ".join(f"CASE WHEN category IN ({', '.join(map(_quote, c))}) THEN {_quote(d)} END" for d, c in rules.DOMAINS.items()) + "], lambda x: x IS NOT NULL), ',')"
+#: What each of FLOWS comes to, by hand: its rule and steps; the sink is the last line.
+_FLOW_STEPS = (
+    ("SQL-003", "source|uid = request.args['id'];propagation|q = 'replace ' + uid;sink|cur.execute(q)"), ("SQL-003", 'source|id := r.FormValue("id");sink|db.Query(id)'), None,
+    ("PATH-002", 'source|String p = req.getParameter("f");;propagation|String q = base + p;;sink|new File(q);'), None, ("SQL-003", "source|$id = $_COOKIE['id'];;sink|mysqli_query($id);"),
+)
+_FLOWS = rf"""WITH f(k, added, rule_id, steps) AS (VALUES {_values([(k, added, *said) for k, ((_, added), said) in enumerate(zip(FLOWS, _FLOW_STEPS, strict=True)) if said])}), c AS (SELECT doc_id, text || added AS text, rule_id, steps FROM documents JOIN f ON doc_id % {len(FLOWS)} = k),
+  n AS (SELECT *, CAST(len(string_split_regex(text, '\r\n|[\n\r\v\f\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')) AS INTEGER) AS line FROM c WHERE text IS NOT NULL)
+  SELECT doc_id, rule_id, 'vulnerable' AS risk_type, CASE rule_id WHEN 'SQL-003' THEN 'SQL Injection' ELSE 'Path Traversal' END AS category, CASE rule_id WHEN 'SQL-003' THEN 9 ELSE 8 END AS severity, CASE rule_id WHEN 'SQL-003' THEN 'CWE-89' ELSE 'CWE-22' END AS cwe, line, string_split(steps, 'sink|')[2] AS snippet, steps FROM n"""
 SQL = {
+    "data_flows": _FLOWS,
     "risk_signals": f"WITH {_CODE}, g(signal, pattern) AS (VALUES {_values(scan.SIGNALS.items())}) SELECT signal, count(*) AS n FROM c, g WHERE regexp_matches(text, pattern) GROUP BY signal",
     "behavior_chains": _CHAINS,
     "destruction_chain": f"WITH {_CODE_LINES} SELECT * FROM (SELECT doc_id, " + ", ".join(f"CAST({'min' if w == 'first' else 'max'}(line) FILTER ({_hit(p)}) AS INTEGER) AS \"{n}\"" for n, p, w in scan.DESTRUCTION) + " FROM l GROUP BY doc_id) WHERE " + " AND ".join(f'"{n}" IS NOT NULL' for n, _, _ in scan.DESTRUCTION),

@@ -9,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from quillspark.functions import languages, masking, text as tx
-from quillspark.operators import audit, curate, evaluate, evasion, rules, scan, selection
+from quillspark.operators import audit, curate, evaluate, evasion, rules, scan, selection, taint
 from quillspark.plans import history
 from quillspark.sources import archives, samples
 from quillspark.streaming import events
@@ -281,3 +281,41 @@ def test_selection_edges(spark):
     assert one(F.array_join(scan.function_names(F.lit("def a(x):\nfunc b() {\nint main(void) {\npublic static void c(int x) {\ndef a(y)")), ",")) == "a,b,c,main"
     items = spark.createDataFrame([(1, "rule_only"), (2, "ai_only"), (3, "ai_and_rule"), (4, "ai_only")], "seq long, basis string")
     assert [r.seq for r in selection.ordered_evidence(items, "seq", 3).orderBy("place").collect()] == [3, 2, 4]
+
+
+def test_data_flows(spark):
+    texts = [
+        ("python", "uid = request.args['id']\nq = 'replace ' + uid\nx = 1\ncur.execute(q)"),
+        ("python", "uid = request.args['id']\n# cur.execute(uid)\nprint(uid)"),  # the sink is a comment
+        ("python", "q = 'select 1'\ncur.execute(q)"),  # nothing goes in
+        ("python", "cur.execute(uid)\nuid = request.form['x']"),  # order of lines doesn't count
+        ("python", "d = c\nc = b\nb = a\na = input()\ncur.execute(d)"),  # three steps against the order
+        ("python", "e = d\nd = c\nc = b\nb = a\na = input()\ncur.execute(e)"),  # four are too many
+        ("python", "uid = input()\nuid2 = 'select %s' % x\ncur.execute(uid, 1)\ncur.execute(uid2)"),
+        ("python", "a = input()\ncur.execute(a + 1)"),  # input, but no statement
+        ("php", "$id = $_GET['id'];\n$r = mysqli_query($id);"),
+        ("go", "id := r.FormValue(\"id\")\ndb.Query(id)"),
+        ("java", "String p = req.getParameter(\"f\");\nString q = base + p;\nnew File(q);"),
+        ("java", "String p = req.getParameter(\"f\");\nString q = base + px;\nnew File(q);"),
+        ("java", "String q = base + p;\nString p = req.getParameter(\"f\");\nFileReader(q);"),
+        ("perl", "q = 'select ' + x\nexecute(q)"),
+        (None, "cur.execute(uid)\nuid = request.form['x']"),
+        ("python", None),
+        ("python", ""),
+        ("python", "s = 'select a from b where c' + request.args\ncur.execute(s)"),  # the line rule has it
+    ]
+    df = spark.createDataFrame([(k, x, t, "clash") for k, (x, t) in enumerate(texts)], "id long, language string, text string, _t string")
+    rows = {(r.id, r.rule_id): r for r in taint.flows(df, "id").collect()}
+    got = {k: (r.line, [(s.line, s.kind) for s in r.steps]) for k, r in rows.items()}
+    assert got == {
+        (0, "SQL-003"): (4, [(1, "source"), (2, "propagation"), (4, "sink")]),
+        (3, "SQL-003"): (1, [(1, "sink")]),
+        (4, "SQL-003"): (5, [(1, "propagation"), (2, "propagation"), (3, "propagation"), (4, "source"), (5, "sink")]),
+        (6, "SQL-003"): (3, [(1, "source"), (2, "propagation"), (3, "sink")]),
+        (8, "SQL-003"): (2, [(1, "source"), (2, "propagation")]),  # the sink's line assigns: one step
+        (9, "SQL-003"): (2, [(1, "source"), (2, "sink")]),
+        (10, "PATH-002"): (3, [(1, "source"), (2, "propagation"), (3, "sink")]),
+        (12, "PATH-002"): (3, [(1, "propagation"), (2, "source"), (3, "sink")]),
+    }
+    assert rows[0, "SQL-003"].snippet == "cur.execute(q)" and rows[0, "SQL-003"].steps[1].snippet == "q = 'replace ' + uid"
+    assert taint.flows(df.limit(0), "id").count() == 0

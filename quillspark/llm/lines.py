@@ -160,7 +160,7 @@ def drop_recurring(
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = drop_recurring(docs, report=True, long_documents=None)  # as OP1_SQL, which counts three documents for long lines too
+    out = drop_recurring(docs, report=True)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -187,9 +187,11 @@ f AS (SELECT * FROM {_level('c', DEPTH)} WHERE template IS NOT NULL),
 r AS (SELECT * FROM c WHERE line NOT IN (SELECT line FROM f)),
 g AS (SELECT * FROM {_level('r', DEEPER)} WHERE template IS NOT NULL),
 a AS (SELECT * FROM f UNION ALL SELECT * FROM g),
-o AS (SELECT e.rid, e.place, coalesce(a.template, 'x' || e.line) AS template FROM e LEFT JOIN a ON e.line = a.line),
+o AS (SELECT e.rid, e.place, e.line, len(e.t) AS n, coalesce(a.template, 'x' || e.line) AS template FROM e LEFT JOIN a ON e.line = a.line),
 q AS (SELECT template, min(rid * 1000000 + place) AS kept FROM o GROUP BY template HAVING count(DISTINCT rid) >= {MIN_DOCUMENTS}),
-x AS (SELECT DISTINCT rid, place FROM o JOIN q USING (template) WHERE rid * 1000000 + place <> kept)
+z AS (SELECT rid, place, line FROM o WHERE n >= {LONG_TOKENS} AND template NOT IN (SELECT template FROM q)),
+y AS (SELECT line, min(rid * 1000000 + place) AS kept FROM z GROUP BY line HAVING count(DISTINCT rid) >= {LONG_DOCUMENTS}),
+x AS (SELECT rid, place FROM o JOIN q USING (template) WHERE rid * 1000000 + place <> kept UNION SELECT rid, place FROM z JOIN y USING (line) WHERE rid * 1000000 + place <> kept)
 SELECT doc_id, count(*) AS n_lines, count(x.rid) AS n_dropped,
   sha256(coalesce(string_agg(raw, chr(10) ORDER BY place) FILTER (x.rid IS NULL), '')) AS kept_sha256
 FROM l LEFT JOIN x USING (rid, place) GROUP BY rid, doc_id

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import languages, text as tx
-from quillspark.operators import curate as cu, rules, scan, taint
+from quillspark.operators import behaviors, curate as cu, rules, scan, taint
 from quillspark.plans.evaluation import table
 
 #: Patterns without \b, \w or \s mean the same to every regular expression engine.
@@ -74,6 +74,7 @@ QUERIES = {
     "rule_hits_by_category": lambda s, d: rules.scan_lines(code(s, d), "doc_id").groupBy("category", "cwe").agg(F.count("*").alias("n"), F.max("severity").alias("severity")),
     "rule_coverage": lambda s, d: s.createDataFrame([(c, n, r) for c, n, ids in rules.TOP_TEN for r in ids], "category string, name string, rule_id string").groupBy("category").agg(F.count("*").alias("n_rules")),
     "data_flows": _flows,
+    "behavior_tokens": lambda s, d: code(s, d).select("doc_id", F.array_join(behaviors.behavior_tokens(F.col("text"), F.lit("python"), 3), ",").alias("tokens")),
     "indicators": lambda s, d: scan.indicators(docs(s, d, "text"), "doc_id"),
     "behavior_chains": lambda s, d: scan.chains(code(s, d), "doc_id"),
     "destruction_chain": lambda s, d: scan.destruction(code(s, d), "doc_id"),
@@ -119,7 +120,12 @@ _FLOW_STEPS = (
 _FLOWS = rf"""WITH f(k, added, rule_id, steps) AS (VALUES {_values([(k, added, *said) for k, ((_, added), said) in enumerate(zip(FLOWS, _FLOW_STEPS, strict=True)) if said])}), c AS (SELECT doc_id, text || added AS text, rule_id, steps FROM documents JOIN f ON doc_id % {len(FLOWS)} = k),
   n AS (SELECT *, CAST(len(string_split_regex(text, '\r\n|[\n\r\v\f\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')) AS INTEGER) AS line FROM c WHERE text IS NOT NULL)
   SELECT doc_id, rule_id, 'vulnerable' AS risk_type, CASE rule_id WHEN 'SQL-003' THEN 'SQL Injection' ELSE 'Path Traversal' END AS category, CASE rule_id WHEN 'SQL-003' THEN 9 ELSE 8 END AS severity, CASE rule_id WHEN 'SQL-003' THEN 'CWE-89' ELSE 'CWE-22' END AS cwe, line, string_split(steps, 'sink|')[2] AS snippet, steps FROM n"""
+#: Each token by version, then chains of tokens of their version or an older one.
+_TOKENS = f"""WITH {_CODE}, p(token, pattern, v) AS (VALUES {_values([(t, f"(?i){x}", v) for v, part in ((1, behaviors.TOKENS), (3, behaviors.VERSION_3), (3, behaviors.ALSO)) for t, x in part.items()])}), h AS (SELECT doc_id, token, min(v) AS v FROM c, p WHERE regexp_matches(text, pattern) GROUP BY doc_id, token),
+  k(token, a, b, v) AS (VALUES {_values([(n, *ends, v) for v, part in ((1, behaviors.CHAINS), (3, behaviors.CHAINS_3)) for n, ends in part.items()])}), t AS (SELECT doc_id, token FROM h UNION SELECT x.doc_id, k.token FROM k JOIN h x ON x.token = k.a AND x.v <= k.v JOIN h y ON y.token = k.b AND y.v <= k.v AND y.doc_id = x.doc_id)
+  SELECT doc_id, coalesce(tokens, '') AS tokens FROM documents LEFT JOIN (SELECT doc_id, string_agg(token, ',' ORDER BY token) AS tokens FROM t GROUP BY doc_id) USING (doc_id)"""
 SQL = {
+    "behavior_tokens": _TOKENS,
     "data_flows": _FLOWS,
     "risk_signals": f"WITH {_CODE}, g(signal, pattern) AS (VALUES {_values(scan.SIGNALS.items())}) SELECT signal, count(*) AS n FROM c, g WHERE regexp_matches(text, pattern) GROUP BY signal",
     "behavior_chains": _CHAINS,

@@ -9,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from quillspark.functions import languages, masking, text as tx
-from quillspark.operators import audit, curate, evaluate, evasion, rules, scan, selection, taint
+from quillspark.operators import audit, behaviors, curate, evaluate, evasion, rules, scan, selection, taint
 from quillspark.plans import history
 from quillspark.sources import archives, samples
 from quillspark.streaming import events
@@ -319,3 +319,25 @@ def test_data_flows(spark):
     }
     assert rows[0, "SQL-003"].snippet == "cur.execute(q)" and rows[0, "SQL-003"].steps[1].snippet == "q = 'replace ' + uid"
     assert taint.flows(df.limit(0), "id").count() == 0
+
+
+def test_behavior_tokens(spark):
+    texts = [
+        ("bash", "curl x | system"), ("ruby", "TCPSocket.new; Open3.capture"), ("powershell", "RootModule = 'x'; IEX"), ("python", "RootModule = 'x'"), ("c", "VirtualAlloc(" + "0x90, " * 16 + ")"),
+        ("c", "virtualallocate curling"), (None, "GetProcAddress VirtualProtect"), ("go", "wifi_password, socket"), ("c", "[byte[]]\n0x90,0x91,0x92,0x93,0x94,0x95,0x96,0x97,"), ("c", ""), ("c", None),
+    ]
+    df = spark.createDataFrame([(k, *x) for k, x in enumerate(texts)], "id long, language string, text string")
+    rows = df.select("id", *[behaviors.behavior_tokens(F.col("text"), F.col("language"), v).alias(f"v{v}") for v in (1, 3)]).collect()
+    short = lambda names: {n.removeprefix("__bt_").removesuffix("__") for n in names}
+    assert all(list(r[v]) == sorted(set(r[v])) for r in rows for v in ("v1", "v3"))
+    assert {r.id: short(r.v1) for r in rows} == {
+        0: {"download", "process_exec", "chain_download_exec"}, 1: set(), 2: {"process_exec", "ps_module_manifest"}, 3: set(), 4: {"injection", "shellcode", "chain_injection_shellcode"},
+        5: set(), 6: set(), 7: {"network"}, 8: {"shellcode"}, 9: set(), 10: set(),
+    }
+    assert {r.id: short(r.v3) - short(r.v1) for r in rows} == {
+        0: set(), 1: {"network", "process_exec", "chain_network_exec"}, 2: set(), 3: set(), 4: {"memory_execution"}, 5: set(), 6: {"dynamic_winapi", "memory_execution", "chain_dynamic_memory_exec"},
+        7: {"wifi_credentials", "chain_wifi_credential_network"}, 8: set(), 9: set(), 10: set(),
+    }
+    said = df.select("id", *[behaviors.token_text(F.col("text"), F.col("language"), v).alias(f"v{v}") for v in (1, 2, 3)]).collect()
+    assert said[7].v1 == texts[7][1] + "\n__bt_network__" and said[7].v2 == texts[7][1] + "\n" + " ".join(["__bt_network__"] * 4) and said[7].v3.count("__bt_wifi_credentials__") == 4
+    assert said[5].v3 == texts[5][1] and said[10].v2 == ""

@@ -1,6 +1,7 @@
 """Operators on hand-made rows."""
 
 import io
+import math
 import tarfile
 import zipfile
 
@@ -341,3 +342,101 @@ def test_behavior_tokens(spark):
     said = df.select("id", *[behaviors.token_text(F.col("text"), F.col("language"), v).alias(f"v{v}") for v in (1, 2, 3)]).collect()
     assert said[7].v1 == texts[7][1] + "\n__bt_network__" and said[7].v2 == texts[7][1] + "\n" + " ".join(["__bt_network__"] * 4) and said[7].v3.count("__bt_wifi_credentials__") == 4
     assert said[5].v3 == texts[5][1] and said[10].v2 == ""
+
+
+def _diff(path, *hunks, old=None, new=None):
+    return f"diff --git a/{path} b/{path}\nindex 0..1\n--- {old or 'a/' + path}\tsome time\n+++ {new or 'b/' + path}\n" + "".join(f"@@ -1 +1 @@ at\n{h}" for h in hunks)
+
+
+def test_read_patches(spark):
+    from quillspark.operators import patches
+
+    long = " context of some length\n"
+    texts = [
+        "From: x\n" + _diff("src/a.go", long + "-old\n+new\n", "-gone  on\n+gone on\n") + _diff("b.PHP", long + "-x\n", long + "+y\n\\ No newline at end of file\n"),
+        _diff("test/a.go", long + "-old\n+new\n") + _diff("a_test.go", long + "-old\n+new\n") + _diff("a.py", long + "-old\n+new\n"),
+        _diff("a.go", long + "+new\n", old="/dev/null") + _diff("b.go", long + "-new\n", new="/dev/null") + _diff("c.go", "-a\n+b\n") + _diff("d.go", long) + _diff("e.go"),
+        _diff("w.go", long + "-old\n+new\n").replace("\n", "\r\n"), _diff("u.go", "-" + "é" * 40_000 + "\n+" + "è" * 40_000 + "\n"), "", None, "no diff --git here",
+    ]
+    df = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], "id long, text string, block string")
+    rows = {(r.id, r.file_path): r for r in patches.read_patches(df, "id").collect()}
+    assert {k: (r.nth, r.language) for k, r in rows.items()} == {(0, "src/a.go"): (0, "go"), (0, "b.PHP"): (1, "php"), (3, "w.go"): (0, "go"), (4, "u.go"): (0, "go")}
+    assert (rows[0, "src/a.go"].bad_code, rows[0, "src/a.go"].good_code) == ("context of some length\nold", "context of some length\nnew") == (rows[3, "w.go"].bad_code, rows[3, "w.go"].good_code)
+    assert rows[0, "b.PHP"].bad_code == "context of some length\nx\n\ncontext of some length" and rows[0, "b.PHP"].good_code == "context of some length\n\ncontext of some length\ny"
+    assert rows[4, "u.go"].bad_code == "é" * 32_768
+    odd = patches.read_patches(df, "id", limit=2 * 1000 + 1).filter("id = 4").first()
+    assert odd.good_code == "è" * 1000
+    assert patches.read_patches(df.limit(0), "id").count() == 0
+
+
+def test_keep_unseen(spark):
+    import random
+
+    from quillspark.operators import patches
+
+    random.seed(5)
+    for size, values in ((120, 200), (120, 40), (200, 6)):
+        rows = [(k, random.choice([None, *range(values)]), random.choice([None, *range(values)])) for k in range(size)]
+        seen, kept = set(), []
+        for k, *pair in rows:
+            own = {v for v in pair if v is not None}
+            if not own & seen:
+                kept.append(k)
+                seen |= own
+        got = patches.keep_unseen(spark.createDataFrame(rows, "k long, bad long, good long"), "k", ["bad", "good"])
+        assert sorted(r.k for r in got.collect()) == kept
+    assert patches.keep_unseen(spark.createDataFrame([], "k long, bad long, good long"), "k", ["bad", "good"]).count() == 0
+
+
+def test_family_splits(spark):
+    import hashlib
+    import random
+
+    from quillspark.operators import corpus
+
+    random.seed(3)
+    rows, sizes = [], {"a": 300, "b": 70, "c": 40, "d": 9, "e": 60}
+    for language, n in sizes.items():
+        rows += [(language, random.choice([None, "", *(f"f{k}" for k in range(3 if language == "e" else 25))]), "old") for _ in range(n)]
+    df = spark.createDataFrame(rows, "language string, family string, split string")
+    got = corpus.split_families(df).collect()
+    for language in sizes:
+        mine = sorted((r for r in got if r.language == language), key=lambda r: hashlib.sha256(r.family.encode()).hexdigest())
+        assert [r.split for r in mine] == corpus.deal([r.weight for r in mine]) and all(r.family for r in mine)
+        assert {r.family: r.weight for r in mine} == {f: sum(x[:2] == (language, f) for x in rows) for f in {x[1] for x in rows if x[0] == language and x[1]}}
+    again = corpus.rebalance(df, F.col("language") != "d", F.col("language") != "c").collect()
+    dealt = {(r.language, r.family): r.split for r in got}
+    assert len(again) == len(rows) and all(r.split == (dealt[r.language, r.family] if r.language in "abe" and r.family else "old") for r in again)
+    assert corpus.split_families(df.limit(0)).count() == 0
+
+
+def test_deal():
+    from quillspark.operators.corpus import deal
+
+    assert deal([]) == []
+    assert deal([6, 2, 2]) == ["train", "validation", "test"]
+    assert deal([1]) == ["train"]
+    assert deal([40]) == ["train"]  # nothing can be moved without leaving train short
+    assert deal([1] * 40).count("train") == 20 and deal([1] * 40).count("validation") == 5
+    assert deal([1] * 60).count("test") == 20 and deal([1] * 200).count("train") == 130
+    assert deal([58, 1, 1]) == ["train", "test", "test"]  # by hand: aims 30, 10, 20
+
+
+def test_strings_and_explanations(spark):
+    from quillspark.operators import corpus
+
+    dense = "abcdefghijklmnopqrstuvwxyz0123456789"
+    raws = [b"\0abc\0abcd\xff" + "wide".encode("utf-16-le") + b"\0\0", dense.encode(), b"\xe4" + dense.encode("utf-16-le"), b"a" * 100, b"", None]
+    df = spark.createDataFrame([(k, bytearray(r) if r is not None else None) for k, r in enumerate(raws)], "id long, raw binary")
+    got = {r.id: r.s for r in df.select("id", corpus.printable_strings(F.col("raw")).alias("s")).collect()}
+    assert got == {0: ["abcd", "wide"], 1: [dense], 2: [dense], 3: ["a" * 100], 4: [], 5: None}
+    assert {(r.id, r.strings, r.snippet) for r in corpus.dense_strings(df, "id", "raw").collect()} == {(1, 1, dense), (2, 1, dense)}
+    texts = spark.createDataFrame([("Eval(x) a.b $eval",), ("reeval evaluate",), ("A.B",), ("axb",), ("",), (None,)], "t string")
+    assert [r[0] for r in texts.select(corpus.feature_evidence(F.col("t"), ["eval", "a.b", "x"])).collect()] == [["eval", "a.b"], [], ["a.b"], [], [], []]
+    names = spark.createDataFrame([(" A ", "4"), ("a", "99"), ("", "x"), (None, None), ("b", "NaN")], "n string, e string")
+    rows = names.select(corpus.lexical_bucket(F.col("n")).alias("b"), corpus.bounded_entropy(F.col("e")).alias("e")).collect()
+    assert rows[0].b == rows[1].b is not None and rows[2].b is rows[3].b is None and [r.e for r in rows] == [0.5, 1.0, 0.0, 0.0, 0.0]
+    pairs = spark.createDataFrame([(1, "p", True, 0.0), (2, "p", True, 3.0), (3, "p", False, 1.0), (4, "q", True, 9.0), (5, "", True, 1.0), (6, None, False, 1.0), (7, "r", False, 50.0), (8, "r", True, 0.0)], "k long, pair string, up boolean, score double")
+    loss = corpus.ranking_loss(pairs, "k", "pair", F.col("up"), "score").first()
+    assert loss.pairs == 2 and abs(loss.loss - (math.log1p(math.exp(-1)) + 51) / 2) < 1e-9
+    assert corpus.ranking_loss(pairs.limit(0), "k", "pair", F.col("up"), "score").first().loss == 0.0

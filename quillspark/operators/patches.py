@@ -5,8 +5,11 @@ Null and empty texts hold no file; texts without a diff header give no row.
 
 from __future__ import annotations
 
+import difflib
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,3 +90,26 @@ def keep_unseen(rows: DataFrame, order: str, values: list[str]) -> DataFrame:
         left = left.join(left.join(taken, "value").select("at").distinct(), "at", "left_anti").checkpoint()
         kept.append(winners)
     return rows.join(reduce(DataFrame.union, kept).withColumnRenamed("at", "_kept"), F.col(order) == F.col("_kept"), "left_semi")
+
+
+def changed_regions(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:
+    """key, start_line, end_line, added: for each place where two texts differ, the lines of the old one and what the new one has there.
+
+    Lines are matched by longest common runs, popular ones too. Places of insertion hold the line they stand before.
+    Null texts are empty; equal texts give no row.
+    """
+
+    def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for k, old, new in zip(frame["k"], frame["old"], frame["new"], strict=True):
+                old, new = old.splitlines(), new.splitlines()
+                for kind, a, b, c, d in difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
+                    if kind != "equal":
+                        rows.append((k, a + 1, max(a + 1, b), new[c:d]))
+            yield pd.DataFrame(rows, columns=[key, "start_line", "end_line", "added"])
+
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    rows = pairs.select(F.col(key).alias("k"), text(before).alias("old"), text(after).alias("new"))
+    schema = pairs.select(key, F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.array(F.lit("")).alias("added")).schema
+    return rows.mapInPandas(go, schema)

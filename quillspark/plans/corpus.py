@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import corpus as co, patches as pa
 from quillspark.plans.evaluation import SCORED, scored, table
+from quillspark.sources import payloads
 
 _ASCII = r"[^\x20-\x7e\n]"
 _FEATURES = ["the", "de", "and", "la", "x", "que", "of", "in", " LA ", "Licensed", "token", "e-mail"]
@@ -71,7 +72,31 @@ def _explained(s, d):
     return co.attribution_summary(items, "l_suppkey")
 
 
+def _texts(s, d):
+    controls = F.repeat(F.lit("\1"), (F.col("doc_id") % 40).cast("int"))
+    raw = F.when(F.col("doc_id") % 7 == 0, F.concat(controls, F.col("text"), F.lit("\0"))).otherwise(F.concat(controls, F.col("text"))).cast("binary")
+    return table(s, d, "documents").filter("text IS NOT NULL").select("doc_id", payloads.is_text(raw).alias("is_text"))
+
+
+def _reports(s, d):
+    """Each document is a case: a report beside its file, which every fifth document lacks."""
+    df, k = table(s, d, "documents"), F.col("doc_id").cast("string")
+    state = F.when(F.col("doc_id") % 2 == 0, "Bad").otherwise("good")
+    report = F.concat(F.lit('{"version": "2.1", "runs": [{"properties": {"id": ""'), F.lit(', "state": "'), state, F.lit('", "description": "xSS '), F.col("doc_id") % 3, F.lit('"}'), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(', "results": [{"ruleId": "CWE-'), k, F.lit('"}]'))).otherwise(""), F.lit("}]}"))
+    files = df.select(F.concat(F.when(F.col("doc_id") % 5 > 0, "cases/c").otherwise("cases/x"), k, F.lit("/src/sample.php")).alias("path"), "text")
+    return payloads.read_reports(df.select(F.concat(F.lit("cases/c"), k, F.lit("/manifest.json")).alias("path"), report.alias("text")), files).withColumn("text", F.sha2("text", 256))
+
+
+def _regions(s, d):
+    """Documents against themselves with a line in front and one behind."""
+    df = table(s, d, "documents").select("doc_id", "text", F.concat(F.lit("first\n"), "text", F.lit("\nlast\nof all")).alias("new"))
+    return pa.changed_regions(df, "doc_id", "text", "new").withColumn("added", F.array_join("added", "|"))
+
+
 QUERIES = {
+    "text_payloads": _texts,
+    "report_samples": _reports,
+    "changed_regions": _regions,
     "patch_pairs": _patch_pairs,
     "keep_unseen": _unseen,
     "family_splits": _families,
@@ -88,6 +113,10 @@ _SIDE = "sha256(substr({0}, 1, 65536))"
 _KEPT = [f.strip().lower() for f in _FEATURES if len(f.strip()) >= 2]
 _STANDS = ", ".join(f"CASE WHEN regexp_matches(lower(text), '(^|[^A-Za-z0-9_$]){f}($|[^A-Za-z0-9_$])') THEN '{f}' END" for f in _KEPT)
 SQL = {
+    "text_payloads": """SELECT doc_id, NOT doc_id % 7 = 0 AND coalesce((doc_id % 40) / nullif(least(65536, octet_length(encode(text)) + doc_id % 40), 0), 0) <= 0.02
+      OR (doc_id % 7 = 0 AND octet_length(encode(text)) + doc_id % 40 >= 65536 AND (doc_id % 40) / 65536 <= 0.02) AS is_text FROM documents WHERE text IS NOT NULL""",
+    "report_samples": """SELECT 'c' || doc_id AS case_id, 'cases/c' || doc_id || '/src/sample.php' AS path, sha256(text) AS text, CASE WHEN doc_id % 2 = 0 THEN 'vulnerable' ELSE 'benign' END AS label,
+      CASE WHEN doc_id % 3 = 0 THEN 'CWE-' || doc_id ELSE '' END AS cwe, 'XSS' AS category, '1.0.0' AS version, '' AS published_at FROM documents WHERE doc_id % 5 > 0 AND text <> ''""",
     "patch_pairs": f"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_ASCII}', 'x', 'g') AS t FROM documents),
       one AS (SELECT doc_id, t || chr(10) || 'the old value of ' || doc_id AS bad, t || chr(10) || 'a new value of ' || doc_id AS good FROM t),
       two AS (SELECT doc_id, 'go' AS language, 'src/main.go' AS file_path, bad, good FROM one

@@ -440,3 +440,29 @@ def test_strings_and_explanations(spark):
     loss = corpus.ranking_loss(pairs, "k", "pair", F.col("up"), "score").first()
     assert loss.pairs == 2 and abs(loss.loss - (math.log1p(math.exp(-1)) + 51) / 2) < 1e-9
     assert corpus.ranking_loss(pairs.limit(0), "k", "pair", F.col("up"), "score").first().loss == 0.0
+
+
+def test_payloads(spark):
+    import json
+
+    from quillspark.sources import payloads
+
+    raws = [b"", b"\xff\xfea", b"a\0b", b"\x01" + b"a" * 49, b"\x01" + b"a" * 48, "é\t\x1b".encode(), b"\xef\xbb\xbfhi\xff", "hö".encode("utf-16"), b"a\xffb", None]
+    df = spark.createDataFrame([(k, bytearray(r) if r is not None else None) for k, r in enumerate(raws)], "id long, raw binary")
+    rows = df.select("id", payloads.is_text(F.col("raw")).alias("t"), payloads.decoded("raw").alias("d")).orderBy("id").collect()
+    assert [r.t for r in rows] == [True, True, False, True, False, True, True, True, True, None]
+    assert [r.d for r in rows][5:] == ["é\t\x1b", "hi\ufffd", "hö", "ab", None]
+    bad = {"runs": [{"properties": {"state": "BAD", "id": 7, "version": "2"}, "results": [{"ruleId": "CWE-89"}], "artifacts": [{"location": {"uri": "a.php"}}]}]}
+    good = {"runs": [{"properties": {"state": "good", "description": "an XSS"}, "artifacts": []}]}
+    manifests = spark.createDataFrame([("t/1/m.sarif", json.dumps(bad)), ("t/2/m.sarif", json.dumps(good)), ("t/3/m.sarif", "{"), ("t/4/m.sarif", None), ("t/5/m.sarif", json.dumps(bad)), ("m.sarif", '{"runs": []}')], "path string, text string")
+    files = spark.createDataFrame([("t/1/a.php", "one"), ("t/2/src/sample.php", "two"), ("t/5/a.php", ""), ("t/4/src/sample.php", "four")], "path string, text string")
+    got = {tuple(r) for r in payloads.read_reports(manifests, files).collect()}
+    assert got == {("7", "t/1/a.php", "one", "vulnerable", "CWE-89", "CWE-89", "2", ""), ("2", "t/2/src/sample.php", "two", "benign", "", "XSS", "1.0.0", "")}
+
+
+def test_changed_regions(spark):
+    from quillspark.operators import patches
+
+    pairs = [(1, "a\nb\nc", "a\nx\ny\nc"), (2, "a\nb", "a\nb"), (3, None, "n"), (4, "a\nb\nc", "a\nc"), (5, "a\nb", "a\nn\nb"), (6, "", None)]
+    rows = patches.changed_regions(spark.createDataFrame(pairs, "id long, old string, new string"), "id", "old", "new").collect()
+    assert {(r.id, r.start_line, r.end_line, tuple(r.added)) for r in rows} == {(1, 2, 2, ("x", "y")), (3, 1, 1, ("n",)), (4, 2, 2, ()), (5, 2, 2, ("n",))}

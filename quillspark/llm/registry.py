@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import op7_chat_format
 from .decontaminate import OP3_SQL, op3_decontaminate
+from .interaction import OP12_SQL, op12_filter_audit
 from .licenses import OP8_SQL, op8_license_scan
 from .lines import OP1_SQL, op1_line_dedup
 from .minhash import op10_near_duplicates
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_toxicity": op9_toxicity,
     "op10_near_duplicates": op10_near_duplicates,
+    "op12_filter_audit": op12_filter_audit,
 }
 SQL = {
     "op1_line_dedup": OP1_SQL,
     "op3_decontaminate": OP3_SQL,
     "op4_quality_rules": OP4_SQL,
     "op8_license_scan": OP8_SQL,
+    "op12_filter_audit": OP12_SQL,
 }

@@ -34,8 +34,8 @@ MARKS = b"#$%&*|"
 COPY = 1 << FILTERS.index("E")
 #: Bytes of texts that a task holds to find copies among its own rows.
 HELD_BYTES = 64_000_000
-#: Partitions of the routed RDD for each partition of the input, which the size of the table decides.
-ROUTED = 4
+#: Bytes of texts, copies included, for each partition of the routed RDD.
+ROUTED_BYTES = 16_000_000
 
 _CAPITALS = bytes(range(65, 91))
 _ORDERS = ["".join(p) for p in permutations(FILTERS)]
@@ -122,9 +122,9 @@ def masks(docs: DataFrame, part: str = "source", text: str = "text") -> DataFram
     spark = docs.sparkSession
     body = text_or_empty(text)
     read = docs.select(F.col("doc_id").cast("long"), body, F.coalesce(F.col(part).cast("string"), F.lit("")), F.xxhash64(body))
-    rows = read.rdd
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ROUTED * rows.getNumPartitions())
-    routed = rows.mapPartitions(_within_task).partitionBy(n, lambda key: key)
+    total = docs.agg(F.sum(F.octet_length(body).cast("long"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // ROUTED_BYTES + 1)
+    routed = read.rdd.mapPartitions(_within_task).partitionBy(n, lambda key: key)
     return spark.createDataFrame(routed.mapPartitions(_across_tasks), ROW, verifySchema=False)
 
 

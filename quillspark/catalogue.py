@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillspark.plans import audit, corpus, curation, evaluation, graphs, history, scanning, selection
+from quillspark.plans import audit, code, corpus, curation, evaluation, graphs, hidden, history, scanning, selection
 
-PARTS = (scanning, evaluation, curation, audit, graphs, history, selection, corpus)
+PARTS = (scanning, evaluation, curation, audit, graphs, history, selection, corpus, code, hidden)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 SQL = {name: sql for part in PARTS for name, sql in part.SQL.items()}

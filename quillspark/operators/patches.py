@@ -8,6 +8,7 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -113,3 +114,26 @@ def changed_regions(pairs: DataFrame, key: str, before: str, after: str) -> Data
     rows = pairs.select(F.col(key).alias("k"), text(before).alias("old"), text(after).alias("new"))
     schema = pairs.select(key, F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.array(F.lit("")).alias("added")).schema
     return rows.mapInPandas(go, schema)
+
+
+def differences(pairs: DataFrame, keys: list[str], before: str, after: str) -> DataFrame:
+    """Places where two texts differ: the keys, nth, old_start, old_end, new_start, new_end (lines from 0, ends not included), old_byte, new_byte.
+
+    Lines are matched by longest common runs, with their line ends; the last two say how many bytes
+    stand before the place. Null texts are empty; equal texts give no row.
+    """
+    numbers = ("nth", "old_start", "old_end", "new_start", "new_end", "old_byte", "new_byte")
+
+    def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for *key, old, new in frame.itertuples(index=False, name=None):
+                old, new = old.splitlines(keepends=True), new.splitlines(keepends=True)
+                codes = [c for kind, *c in difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes() if kind != "equal"]
+                before = [[0, *accumulate(len(x.encode(errors="replace")) for x in side)] for side in ((old, new) if codes else ())]
+                rows += [(*key, n, *c, before[0][c[0]], before[1][c[2]]) for n, c in enumerate(codes)]
+            yield pd.DataFrame(rows, columns=[*keys, *numbers])
+
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    rows = pairs.select(*keys, text(before).alias("_old"), text(after).alias("_new"))
+    return rows.mapInPandas(go, pairs.select(*keys, *[F.lit(1).alias(c) for c in numbers]).schema)

@@ -124,3 +124,29 @@ def first_of_each(windows: DataFrame, order: list[str], family: str = "family")
 def head_of_file(code: Column, size: int = FILE_BYTES) -> Column:
     """What a file of the other splits keeps."""
     return byte_slice(F.coalesce(code, F.lit("")), 0, size)
+
+
+#: Tokens of a model's window, of which two are its own marks, tokens that neighbours share, windows that count.
+MODEL_TOKENS, MARKS, SHARED, MOST_WINDOWS = 512, 2, 128, 24
+
+
+def token_windows(n: Column, length: int = MODEL_TOKENS, shared: int = SHARED, most: int = MOST_WINDOWS, marks: int = MARKS) -> Column:
+    """Array of (nth, start, end) of the overlapping windows over ``n`` tokens: each but the last is full, neighbours share tokens, the first ``most`` stay."""
+    size = length - marks
+    step = size - min(shared, length // 2)
+    count = F.least(F.lit(most), F.greatest(F.ceil((n - size) / step) + 1, F.lit(1))).cast("int")
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.struct(k.alias("nth"), (k * step).cast("int").alias("start"), F.least(n, k * step + size).cast("int").alias("end")))
+
+
+def greatest_window(rows: DataFrame, key: str, scores: str, lines: str, **bounds: int) -> DataFrame:
+    """key, windows, nth, score, start_line, end_line: the window whose tokens' scores sum to most, the first on ties.
+
+    ``scores`` and ``lines`` hold a number for each token. Rows without tokens have one window of score 0. All is done in the row.
+    """
+    values = F.coalesce(F.col(scores).cast("array<double>"), F.array().cast("array<double>"))
+    total = lambda w: F.aggregate(F.slice("_v", w["start"] + 1, w["end"] - w["start"]), F.lit(0.0), lambda a, x: a + x)
+    # the greatest struct has the greatest score, then the first place
+    made = lambda w: F.struct(total(w).alias("score"), (-w["nth"]).alias("_o"), F.get("_l", w["start"]).alias("start_line"), F.get("_l", w["end"] - 1).alias("end_line"))
+    df = rows.select(key, F.col(lines).alias("_l"), values.alias("_v"), token_windows(F.size(values), **bounds).alias("_w"))
+    df = df.select(key, F.size("_w").cast("long").alias("windows"), F.array_max(F.transform("_w", made)).alias("_b"))
+    return df.select(key, "windows", (-F.col("_b._o")).alias("nth"), "_b.score", "_b.start_line", "_b.end_line")

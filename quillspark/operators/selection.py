@@ -146,6 +146,13 @@ def training_gate(graphs: DataFrame, leaks: Column) -> DataFrame:
     return out.withColumn("passed", F.expr(" AND ".join(checks)))
 
 
+def checked_training_gate(graphs: DataFrame, group: str) -> DataFrame:
+    """``training_gate`` whose check for leaks looks whether any group of graphs (split, label, group) is in several splits."""
+    leaks = graphs.filter(F.col(group).isNotNull()).groupBy(group).agg((F.min("split") != F.max("split")).alias("torn")).agg(F.coalesce(~F.bool_or("torn"), F.lit(True)).alias("_clean"), F.lit(True).alias("_one"))
+    known = graphs.withColumn("_one", F.lit(True)).join(F.broadcast(leaks), "_one")  # one row
+    return training_gate(known, F.coalesce(F.bool_and("_clean"), F.lit(True)))
+
+
 def similarity(claims: DataFrame, seen: DataFrame, by: str) -> DataFrame:
     """by, n_matched, similarity: weighted share of claims (by, kind, symbol) seen (by, symbol), over kinds that claim anything."""
     known = seen.select(by, "symbol", F.lit(1).alias("_seen")).distinct()

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.needles import folded, may_match
 from quillspark.functions.text import line_of, split_lines
 from quillspark.operators.curate import nearest_following
 
@@ -212,7 +215,10 @@ def scaled_buckets(docs: DataFrame, key: str, text: str = "text", buckets: int =
 
 def chains(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, rule_id, category, severity, risk_type, left_at, right_at, gap: the nearest ordered pair of each chain within 40 lines."""
-    lines = text_lines(docs, key, text)
+    # texts that can't hold both ends of any chain aren't cut into lines
+    low = docs.select(key, F.col(text).alias("_t"), folded(F.coalesce(F.col(text), F.lit(""))).alias("_low"))
+    either = reduce(lambda a, b: a | b, [may_match(F.col("_low"), GROUPS[c[0]]) & may_match(F.col("_low"), GROUPS[c[1]]) for c in CHAINS])
+    lines = text_lines(low.select(key, F.when(either, F.col("_t")).alias("_t")), key, "_t")
     hits = lines.select(key, "line", F.explode(F.array_compact(F.array(*[F.when(F.col("value").rlike(p.replace("(?i)", "(?iU)")), F.lit(g)) for g, p in GROUPS.items()]))).alias("grp"))
     roles = F.explode(F.array_compact(F.array(*[x for left, right, _, rule, _, _ in CHAINS for x in (F.when(F.col("grp") == left, F.struct(F.lit(rule).alias("rule_id"), F.lit(0).alias("side"))), F.when(F.col("grp") == right, F.struct(F.lit(rule).alias("rule_id"), F.lit(1).alias("side"))))])))
     sided = hits.select(key, "line", roles.alias("r")).select(key, "r.rule_id", "r.side", "line")
@@ -228,7 +234,9 @@ def chains(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def destruction(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key and the line of each of the four stages, of texts that have them all."""
-    lines = text_lines(docs, key, text)
+    low = docs.select(key, F.col(text).alias("_t"), folded(F.coalesce(F.col(text), F.lit(""))).alias("_low"))
+    all_ = reduce(lambda a, b: a & b, [may_match(F.col("_low"), p) for _, p, _ in DESTRUCTION])
+    lines = text_lines(low.select(key, F.when(all_, F.col("_t")).alias("_t")), key, "_t")
     stages = [(F.min if which == "first" else F.max)(F.when(F.col("value").rlike(p.replace("(?i)", "(?iU)")), F.col("line"))).alias(name) for name, p, which in DESTRUCTION]
     found = lines.groupBy(key).agg(*stages)
     for name, _, _ in DESTRUCTION:

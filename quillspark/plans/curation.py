@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
-from quillspark.operators import curate as cu
+from quillspark.operators import curate as cu, neardup
 from quillspark.plans.evaluation import SCORED, scored, table
 
 _B = "CAST(concat('0x', substr(sha256({0}), 1, 8)) AS BIGINT) % 100"
@@ -41,6 +41,11 @@ def _merge(s, d):
     return cu.merge_new(df.filter(half), df.filter(~half), "hash", "label")[1]
 
 
+def _near_reasons(s, d):
+    """Documents of one language are of one label; the languages of a text's copies may contradict."""
+    return neardup.near_dedup(docs(s, d, "text", "lang"), "doc_id", "lang", "text").withColumnRenamed("seq", "doc_id")
+
+
 def _contaminated(s, d):
     items = table(s, d, "benchmark").select(tx.conflict_key("text").alias("key"))
     lines = docs(s, d, "text").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
@@ -122,6 +127,7 @@ QUERIES = {
     "conflict_groups": lambda s, d: cu.conflicts(samples(s, d), "hash", "label").select("hash", "n"),
     "dedup_report": lambda s, d: cu.dedup_report(samples(s, d), "hash", "label"),
     "merge_conflicts": _merge,
+    "near_dedup_reasons": _near_reasons,
     "near_dedup_greedy": lambda s, d: cu.greedy_near_dedup(docs(s, d, "text").withColumn("label", F.lit(0)), "doc_id", "label", "text").select("doc_id"),
     "capped_by_group": lambda s, d: cu.cap(docs(s, d, "source", "lang"), ["source"], [F.sha2(F.col("doc_id").cast("string"), 256), "doc_id"], 12),
     "capped_two_stage": lambda s, d: cu.cap_twice(table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), ["o_custkey"], 3, ["o_orderstatus"], 200, ["o_orderkey"]),

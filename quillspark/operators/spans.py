@@ -35,7 +35,10 @@ def _events(text: Column) -> Column:
     def of_part(part: Column, k: Column) -> Column:
         # a head may not begin in the middle of a line: behind a brace the line goes on
         start = F.when(k > 0, F.concat(F.lit("{"), part)).otherwise(part)
-        tail = F.when(part.rlike(r"(?U)\)\s*\z") | F.contains(part, F.lit("throws")), start).otherwise(F.lit(""))
+        # without a clause of exceptions a head holds neither ; nor }, so that what stands behind the last of them is enough
+        last = F.substring_index(F.substring_index(part, ";", -1), "}", -1)
+        short = F.when(F.length(last) < F.length(part), F.concat(F.lit(";"), last)).otherwise(start)
+        tail = F.when(F.contains(part, F.lit("throws")), start).when(part.rlike(r"(?U)\)\s*\z"), short).otherwise(F.lit(""))
         head, name = F.regexp_extract(tail, HEAD, 0), F.regexp_extract(tail, HEAD, 1)
         closed = F.split(part, r"\}", -1)
         kind = lambda side, x, first, named: F.struct(

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.lineage import ensure_folder
 from quillspark.functions.text import hash_split
 
 #: Review states that allow training, and the least label confidence.
@@ -195,6 +196,7 @@ def greedy_near_dedup(df: DataFrame, seq: str, label: str, text: str, threshold:
     row whose similar earlier rows are all settled is settled. Rounds are as many as the
     longest chain of similar rows, and each handles all chains at once.
     """
+    ensure_folder(df.sparkSession)
     tokens = F.regexp_extract_all(F.lower(text), F.lit("[A-Za-z_][A-Za-z0-9_]*|[0-9]+"), F.lit(0))
     grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_t") - 5, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(F.col("_t"), i + 1, F.lit(5)), "\x1f")))
     sig = F.array(*[F.expr(f"array_min(transform(_g, g -> xxhash64(g, {k})))") for k in range(16)])
@@ -210,7 +212,7 @@ def greedy_near_dedup(df: DataFrame, seq: str, label: str, text: str, threshold:
         hit = open_pairs.join(kept.select(F.col(seq).alias("a")), "a", "left_semi").select("b").distinct()
         gone = hit if gone is None else gone.union(hit).distinct()
         open_pairs = open_pairs.join(gone, "b", "left_anti").join(gone.select(F.col("b").alias("a")), "a", "left_anti").join(kept.select(F.col(seq).alias("a")), "a", "left_anti")
-        open_pairs = open_pairs.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else open_pairs
+        open_pairs = open_pairs.checkpoint()
         settled = df.select(seq).join(gone.select(F.col("b").alias(seq)), seq, "left_anti").join(open_pairs.select(F.col("b").alias(seq)).distinct(), seq, "left_anti")
         kept = settled
     return df if gone is None else df.join(gone.select(F.col("b").alias(seq)), seq, "left_anti")

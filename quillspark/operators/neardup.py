@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.lineage import ensure_folder
 from quillspark.functions.text import normalize_code
 
 #: What counts as a token, tokens and shingles that a very long text keeps, slots, bands, and the numbers of the hash family.
@@ -76,6 +77,7 @@ def signatures(rows: DataFrame, seq: str, label: str, text: str) -> DataFrame:
 
 def near_dedup(rows: DataFrame, seq: str, label: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
     """seq and reason (kept, copy, conflict, near) of every row."""
+    ensure_folder(rows.sparkSession)
     own = rows.select(F.col(seq).cast("long").alias("seq"), F.coalesce(F.col(label).cast("string"), F.lit("\0")).alias("label"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("digest"))
     same = own.groupBy("digest").agg(F.min("seq").alias("first"), F.min("label").alias("a"), F.max("label").alias("b")).withColumnRenamed("digest", "_digest")
     first = own.join(same, F.col("digest") == F.col("_digest")).select("seq", F.when(F.col("a") != F.col("b"), "conflict").when(F.col("seq") > F.col("first"), "copy").alias("reason")).checkpoint()

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.lineage import ensure_folder
+
 #: Seconds between two reports of a stage, seconds that a value is kept.
 PAUSE, KEPT = 1.0, 300.0
 
@@ -34,6 +36,7 @@ def _following(rows: DataFrame, by: list[str], at: str, pause: float) -> DataFra
 
 def throttled(reports: DataFrame, job: str = "job", at: str = "at", stage: str = "stage", pause: float = PAUSE) -> DataFrame:
     """The reports (job, at in seconds, stage, seq) that are let through: the first of a job, those of a new stage, and those ``pause`` after the last."""
+    ensure_folder(reports.sparkSession)
     rows = reports.filter(F.col(at).isNotNull()).withColumns({at: F.col(at).cast("double"), "seq": F.col("seq").cast("long")})
     before = Window.partitionBy(job).orderBy(at, "seq")
     fresh = F.lag("seq").over(before).isNull() | ~F.col(stage).eqNullSafe(F.lag(stage).over(before)) | (F.col(at) - F.lag(at).over(before) >= pause)

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.lineage import ensure_folder
 from quillspark.functions.text import LINE_BREAK, suffix
 from quillspark.operators.selection import is_production
 
@@ -81,6 +82,7 @@ def keep_unseen(rows: DataFrame, order: str, values: list[str]) -> DataFrame:
     Each round keeps the rows that come first for all their values and drops what shares one with
     them; the rest goes on. A round shuffles keys and hashes, never the rows' other columns.
     """
+    ensure_folder(rows.sparkSession)
     hashes = [F.sha2(F.col(v).cast("string"), 256) for v in values]
     left = rows.select(F.col(order).alias("at"), F.explode(F.array_compact(F.array_distinct(F.array(*hashes)))).alias("value")).checkpoint()
     kept = [rows.filter(F.coalesce(*[F.col(v).cast("string") for v in values]).isNull()).select(F.col(order).alias("at"))]

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.lineage import ensure_folder
 from quillspark.functions.text import hash_bucket
 
 #: Types of nodes and edges, and buckets of names, of the layouts of features.
@@ -94,6 +95,7 @@ def preview(edges: DataFrame, nodes: DataFrame, graph: str, most_nodes: int = PR
     left, and what needs no new node before the last of them. So there are at most as many rounds
     as nodes in a preview, whatever the size of the graphs; only what is shown is kept between them.
     """
+    ensure_folder(edges.sparkSession)
     edges = edges.select(graph, "src", "dst", "relation").filter("src <> dst").distinct()
     ends = edges.select(graph, F.explode(F.array("src", "dst")).alias("node_id")).groupBy(graph, "node_id").agg(F.count("*").alias("degree"))
     known = nodes.groupBy(graph, "node_id").agg(F.max(F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(F.col("risk").cast("int"), F.lit(0))))).alias("risk"))

@@ -17,6 +17,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions.lineage import ensure_folder
+
 MANIFEST = "source string, signature string, n_files long, run string, n_rows long"
 
 
@@ -61,6 +63,7 @@ def ingest(files: DataFrame, build: Callable[[DataFrame], DataFrame], store: str
     it never sees those of others.
     """
     spark, run = files.sparkSession, uuid.uuid4().hex
+    ensure_folder(spark)
     now, before = signatures(files, settings), current(spark, store)
     same = now.join(before.select("source", "signature", "run", "n_rows"), ["source", "signature"])
     changed = now.join(before, ["source", "signature"], "left_anti").checkpoint()

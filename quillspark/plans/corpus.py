@@ -112,7 +112,12 @@ QUERIES = {
 _SIDE = "sha256(substr({0}, 1, 65536))"
 _KEPT = [f.strip().lower() for f in _FEATURES if len(f.strip()) >= 2]
 _STANDS = ", ".join(f"CASE WHEN regexp_matches(lower(text), '(^|[^A-Za-z0-9_$]){f}($|[^A-Za-z0-9_$])') THEN '{f}' END" for f in _KEPT)
+#: Lines end where Python cuts them; a break at the very end opens no line.
+_BREAK = r"\r\n|[\n\r\v\f\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 SQL = {
+    "changed_regions": rf"""WITH l AS (SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(string_split_regex(regexp_replace(text, '({_BREAK})$', ''), '{_BREAK}')) END AS n, regexp_matches(text, '({_BREAK})$') AS open_end FROM documents WHERE text IS NOT NULL)
+      SELECT doc_id, CAST(1 AS INTEGER) AS start_line, CAST(1 AS INTEGER) AS end_line, CASE WHEN n = 0 THEN 'first||last|of all' ELSE 'first' END AS added FROM l
+      UNION ALL SELECT doc_id, n + 1, n + 1, CASE WHEN open_end THEN '|last|of all' ELSE 'last|of all' END FROM l WHERE n > 0""",
     "text_payloads": """SELECT doc_id, NOT doc_id % 7 = 0 AND coalesce((doc_id % 40) / nullif(least(65536, octet_length(encode(text)) + doc_id % 40), 0), 0) <= 0.02
       OR (doc_id % 7 = 0 AND octet_length(encode(text)) + doc_id % 40 >= 65536 AND (doc_id % 40) / 65536 <= 0.02) AS is_text FROM documents WHERE text IS NOT NULL""",
     "report_samples": """SELECT 'c' || doc_id AS case_id, 'cases/c' || doc_id || '/src/sample.php' AS path, sha256(text) AS text, CASE WHEN doc_id % 2 = 0 THEN 'vulnerable' ELSE 'benign' END AS label,

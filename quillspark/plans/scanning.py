@@ -124,7 +124,13 @@ _FLOWS = rf"""WITH f(k, added, rule_id, steps) AS (VALUES {_values([(k, added, *
 _TOKENS = f"""WITH {_CODE}, p(token, pattern, v) AS (VALUES {_values([(t, f"(?i){x}", v) for v, part in ((1, behaviors.TOKENS), (3, behaviors.VERSION_3), (3, behaviors.ALSO)) for t, x in part.items()])}), h AS (SELECT doc_id, token, min(v) AS v FROM c, p WHERE regexp_matches(text, pattern) GROUP BY doc_id, token),
   k(token, a, b, v) AS (VALUES {_values([(n, *ends, v) for v, part in ((1, behaviors.CHAINS), (3, behaviors.CHAINS_3)) for n, ends in part.items()])}), t AS (SELECT doc_id, token FROM h UNION SELECT x.doc_id, k.token FROM k JOIN h x ON x.token = k.a AND x.v <= k.v JOIN h y ON y.token = k.b AND y.v <= k.v AND y.doc_id = x.doc_id)
   SELECT doc_id, coalesce(tokens, '') AS tokens FROM documents LEFT JOIN (SELECT doc_id, string_agg(token, ',' ORDER BY token) AS tokens FROM t GROUP BY doc_id) USING (doc_id)"""
+_pick = lambda value, names: "CASE " + " ".join(f"WHEN {value} IN ({', '.join(map(_quote, keys))}) THEN '{n}'" for n, keys in names.items() if keys) + " ELSE 'unknown' END"
+_content = lambda text: "CASE " + " ".join(f"WHEN regexp_matches(substr({text}, 1, 256000), {_quote(p)}) THEN '{n}'" for n, p in languages.CONTENT) + " ELSE 'unknown' END"
 SQL = {
+    "content_languages": f"SELECT page_id, {_content('html')} AS language FROM pages",
+    "page_languages": rf"""WITH s AS (SELECT page_id, html, lower(regexp_extract(regexp_extract(url, '[^/\\]*$'), '[^.]([.][^.]*)$', 1)) AS ext FROM pages),
+      p AS (SELECT *, {_pick('ext', languages.EXTENSIONS)} AS by_path FROM s), l AS (SELECT *, CASE WHEN by_path = 'unknown' THEN {_content('html')} ELSE by_path END AS language FROM p)
+      SELECT page_id, by_path, CASE WHEN language = 'config' THEN {_pick('ext', {v: (k,) for k, v in languages.CONFIG_NAMES.items()}).replace("'unknown'", "'config'")} WHEN language = 'unknown' AND ext IN ('', '.txt') THEN 'text' ELSE language END AS shown FROM l""",
     "behavior_tokens": _TOKENS,
     "data_flows": _FLOWS,
     "risk_signals": f"WITH {_CODE}, g(signal, pattern) AS (VALUES {_values(scan.SIGNALS.items())}) SELECT signal, count(*) AS n FROM c, g WHERE regexp_matches(text, pattern) GROUP BY signal",

@@ -48,11 +48,20 @@ QUERIES = {
     "dominant_language": lambda s, d: gr.dominant_language(table(s, d, "documents").select("source", "lang"), "source", "lang"),
 }
 _L = r"""l AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, url AS src, unnest(list_distinct(regexp_extract_all(html, '<a[^>]* href=["'']([^"''#?]+)', 1))) AS dst FROM pages)"""
+_quote = lambda x: "'" + x.replace("'", "''") + "'"
+_every = lambda patterns, most: "list_distinct(flatten([" + ", ".join(f"regexp_extract_all(t, {_quote(p)}, 1)" for p in patterns) + f"]))[1:{most}]"
+#: What is in the same files, by the same patterns; nodes of a package once each.
+_PARTS = f"""pf AS (SELECT source, doc_id || '.py' AS path, coalesce(text, '') || chr(10) || 'import os' || chr(10) || 'from m' || (doc_id % 7) || ' import x' || chr(10) || 'def f' || (doc_id % 5) || '(a):' || chr(10) || '    return ' || CASE WHEN doc_id % 3 = 0 THEN 'eval(a)' ELSE 'a' END AS t FROM documents),
+  pp AS (SELECT source, path, {_every(gr.FUNCTIONS, 50)} AS f, {_every(gr.IMPORTS, 50)} AS i, {_every((gr.DANGEROUS,), 30)} AS a FROM pf),
+  pn AS (SELECT DISTINCT source, 'file' AS type, path AS x FROM pp UNION ALL SELECT DISTINCT source, 'package', source FROM pp UNION ALL SELECT DISTINCT source, 'function', path || '#' || unnest(f) FROM pp UNION ALL SELECT DISTINCT source, 'dependency', unnest(i) FROM pp UNION ALL SELECT DISTINCT source, 'dangerous_api', unnest(a) FROM pp),
+  pe AS (SELECT source, count(*) + sum(len(f)) + sum(len(i)) + sum(len(a)) AS n_edges, sum(len(a)) AS n_calls FROM pp GROUP BY source)"""
 SQL = {
+    "package_nodes": f"WITH {_PARTS} SELECT type, count(*) AS n FROM pn GROUP BY type",
+    "package_edges": f"WITH {_PARTS} SELECT 'contains' AS type, count(*) AS n FROM pp UNION ALL SELECT 'defines', CAST(sum(len(f)) AS BIGINT) FROM pp UNION ALL SELECT 'imports', CAST(sum(len(i)) AS BIGINT) FROM pp UNION ALL SELECT 'calls', CAST(sum(len(a)) AS BIGINT) FROM pp",
+    "package_features": f"""WITH {_PARTS}, k AS (SELECT source, count(*) AS n_nodes, count(*) FILTER (type = 'function') AS n_function, count(*) FILTER (type = 'dependency') AS n_dependency, count(*) FILTER (type = 'dangerous_api') AS n_dangerous_api FROM pn GROUP BY source)
+      SELECT source, n_nodes, CAST(n_edges AS BIGINT) AS n_edges, n_function, n_dependency, n_dangerous_api, round(ln(1 + n_nodes), 6) AS log_nodes, round(least(1, n_dangerous_api / greatest(1, n_nodes)), 6) AS api_share, n_dangerous_api > 0 AS has_api FROM k JOIN pe USING (source)""",
     "node_degree": f"WITH {_L} SELECT host, node_id, count(*) AS degree FROM (SELECT host, src AS node_id FROM l UNION ALL SELECT host, dst FROM l) GROUP BY ALL",
     "attached_edges": f"WITH {_L}, k AS (SELECT host, src, CASE WHEN starts_with(dst, 'http') THEN dst ELSE 'https://' || host || dst END AS dst FROM l), n AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/]+)', 1) AS host, url FROM pages) SELECT host, count(*) AS n FROM k WHERE (host, dst) IN (SELECT (host, url) FROM n) GROUP BY host",
-    "package_nodes": "SELECT * FROM (SELECT 'package' AS type, count(DISTINCT source) AS n FROM documents UNION ALL SELECT 'file', count(*) FROM documents UNION ALL SELECT 'function', count(*) FROM documents UNION ALL SELECT 'dependency', (SELECT count(*) FROM (SELECT DISTINCT source, doc_id % 7 FROM documents)) + (SELECT count(DISTINCT source) FROM documents) UNION ALL SELECT 'dangerous_api', count(DISTINCT source) FROM documents WHERE doc_id % 3 = 0)",
-    "package_edges": "SELECT 'contains' AS type, count(*) AS n FROM documents UNION ALL SELECT 'defines', count(*) FROM documents UNION ALL SELECT 'imports', 2 * count(*) FROM documents UNION ALL SELECT 'calls', count(*) FROM documents WHERE doc_id % 3 = 0",
     "mode_label": "SELECT source, lang FROM (SELECT source, lang, count(*) AS n, min(doc_id) AS f FROM documents GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, f) = 1",
     "dominant_language": "SELECT source, lang FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, lang DESC) = 1",
     "file_ablation": "WITH f AS (SELECT source, doc_id, 2 + 2 + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS e FROM documents), g AS (SELECT source, sum(e) AS t, count(*) AS c FROM f GROUP BY source) SELECT source, 'file:' || doc_id || '.py' AS left_out, CAST(t - e AS BIGINT) AS n_edges FROM f JOIN g USING (source) WHERE c > 1",

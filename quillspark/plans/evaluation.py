@@ -77,7 +77,15 @@ QUERIES = {
     "temperature_fit": lambda s, d: ev.fit_temperature(scored(s, d).select("label", (F.log((F.col("p") + 0.01) / (1.01 - F.col("p")))).alias("logit"))),
     "window_max_score": lambda s, d: scored(s, d).groupBy("source", F.floor(F.col("doc_id") / 128).alias("window")).agg(F.max("p").alias("p"), F.max("label").cast("int").alias("label")),
 }
+def _ladder(k: int) -> str:
+    """Losses on 21 steps between the neighbours of the best of the round before."""
+    ends = "SELECT CAST(0.05 AS DOUBLE) AS low, CAST(20 AS DOUBLE) AS high" if k == 0 else f"SELECT (SELECT t FROM s{k - 1} WHERE k = greatest(b.k - 1, 0)) AS low, (SELECT t FROM s{k - 1} WHERE k = least(b.k + 1, 20)) AS high FROM b{k - 1} b"
+    return f"""e{k} AS MATERIALIZED ({ends}), s{k} AS MATERIALIZED (SELECT k, low * pow(high / low, k / 20) AS t FROM e{k}, (SELECT unnest(range(21)) AS k)),
+      b{k} AS MATERIALIZED (SELECT k, t FROM s{k}, (SELECT ln((p + 0.01) / (1.01 - p)) AS z, label FROM scored) GROUP BY k, t ORDER BY sum(CASE WHEN label = 1 THEN ln(1 + exp(-z / t)) WHEN label = 0 THEN ln(1 + exp(z / t)) END), t LIMIT 1)"""
+
+
 SQL = {
+    "temperature_fit": f"WITH {SCORED}, {', '.join(map(_ladder, range(3)))} SELECT t AS temperature FROM b2",
     "label_confusion": _W + _metrics(_cells("0.5")),
     "brier_by_language": _W + f"SELECT m.*, round(b.brier, 9) AS brier FROM ({_metrics(_cells('0.5', 'lang'), 'lang')}) m JOIN (SELECT lang, avg((p - label) ** 2) AS brier FROM scored GROUP BY lang) b USING (lang)",
     "segment_metrics": _W + f"""SELECT source, tp, fp, fn, tn, samples, i AS insufficient, CASE WHEN NOT i THEN accuracy END AS accuracy, CASE WHEN NOT i THEN precision END AS precision,

@@ -3,7 +3,9 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a
 DataFrame; all but the last return the columns of ``docs``. ``run`` writes each stage as
 Parquet to the shared folder of the cluster (spark.checkpoint.dir) and reads it again, so
-that a lost executor costs no more than the stage it worked on.
+that a lost executor costs no more than the stage it worked on. The stages' tables stay there
+as points to go on from, until that folder is cleared. Null texts, null ids, repeated rows and empty
+tables are as each stage's operator defines them; none of them ends the run.
 """
 
 from __future__ import annotations

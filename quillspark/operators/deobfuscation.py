@@ -47,7 +47,7 @@ SCRIPTS = ("javascript", "typescript", "html")
 LIMIT, SCRIPT_LIMIT, BYTES, SOURCE, PREVIEW = 160, 120, 64 * 1024, 4000, 240
 CONFIDENCE, EVIDENCE_LIMIT = 0.82, 160
 _KIND = "array<struct<rank:int,encoding:string,source:string,decoded:string,line:int>>"
-_ODD = r"[\p{C}\p{Z}&&[^ \r\n\t]]"
+_ODD = scan.UNPRINTABLE
 
 
 def _lines(c: Column) -> Column:
@@ -173,11 +173,11 @@ def _candidates(text: Column, language: Column) -> Column:
     )
 
 
-def decoded(docs: DataFrame, key: str, text: str = "text", language: str = "language", depth: int = 1, masked: bool = False) -> DataFrame:
+def decoded(docs: DataFrame, key: str, text: str = "text", language: str = "language", depth: int = 1, masked: bool = False, odd: str = scan.UNPRINTABLE) -> DataFrame:
     """key, depth, seq, encoding, source, decoded, line of what a text's literals decode to, each (decoded, line) once, at most 160 of a text and depth.
 
     Script languages come first with their own calls, then calls, escapes, bare literals and encoded commands.
-    Comments don't count unless the text is masked already.
+    Comments don't count unless the text is masked already. Bare literals lose their ``odd`` characters.
     """
     named = F.lower(F.trim(F.coalesce(F.col(language), F.lit("unknown"))))
     body = F.coalesce(F.col(text), F.lit(""))
@@ -185,7 +185,7 @@ def decoded(docs: DataFrame, key: str, text: str = "text", language: str = "lang
     out = []
     for level in range(1, depth + 1):
         found = rows.select(key, "_l", "_line", "_p", F.posexplode(_candidates(F.col("_t"), F.col("_l"))).alias("_at", "_x")).select(key, "_l", "_line", "_p", "_at", "_x.*")
-        bare = scan.decoded_literals(rows.withColumn("_k", F.struct(key, "_l", "_line", "_p")), "_k", "_t").select("_k.*", F.col("seq").alias("_at"), "encoding", "source", "decoded", F.col("line").cast("int").alias("line"))
+        bare = scan.decoded_literals(rows.withColumn("_k", F.struct(key, "_l", "_line", "_p")), "_k", "_t", odd=odd).select("_k.*", F.col("seq").alias("_at"), "encoding", "source", "decoded", F.col("line").cast("int").alias("line"))
         both = bare.withColumn("rank", F.when(F.col("_l").isin(*SCRIPTS), 2).otherwise(6)).unionByName(found)
         both = both.withColumn("line", F.coalesce("_line", "line"))
         each = both.groupBy(key, "_l", "decoded", "line").agg(F.min(F.struct("rank", "_p", "_at", "encoding", "source")).alias("_f"))
@@ -202,12 +202,12 @@ def _first_rule(value: Column, rules: tuple) -> Column:
     return F.coalesce(*made)
 
 
-def findings(docs: DataFrame, key: str, text: str = "text", language: str = "language", masked: bool = False) -> DataFrame:
+def findings(docs: DataFrame, key: str, text: str = "text", language: str = "language", masked: bool = False, odd: str = scan.UNPRINTABLE) -> DataFrame:
     """key, seq, rule_id, behavior, severity, risk_type, line, snippet, encoding, preview, confidence: decoded text that would do something dangerous.
 
     Script languages have rules of their own; lines where those find something aren't looked at by the others.
     """
-    said = decoded(docs, key, text, language, 1, masked)
+    said = decoded(docs, key, text, language, 1, masked, odd)
     flat = F.substring(_strip(F.regexp_replace("decoded", r"(?U)[\s\x1C-\x1F]+", " ")), 1, PREVIEW)
     script = F.col("language").isin(*SCRIPTS) & (F.col("rank") <= 2) & (F.col("seq") < SCRIPT_LIMIT)
     own = said.withColumn("_own", F.when(script, _first_rule(F.col("decoded"), SCRIPT_DANGEROUS)))

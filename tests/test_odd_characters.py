@@ -7,7 +7,7 @@ import pytest
 from quillspark import catalogue
 
 
-@pytest.mark.parametrize("name", ["bare_literals", "decoded_texts"])
+@pytest.mark.parametrize("name", ["bare_literals", "decoded_texts", "decoded_findings"])
 def test_unassigned_and_format_characters(name, spark, same_as_sql, tmp_path):
     said = ["eval(׬rzz_)", "sys­tem(y)", "zzz\u3000z\u07b5abc", "popen(\u200bab)", "eval(\x01\x9fab\xa0cd)"]
     rows = [(k, f"key {base64.b64encode((x + ' ' * (-len(x.encode()) % 3)).encode()).decode()} end") for k, x in enumerate(said)]

@@ -154,12 +154,17 @@ def checked_training_gate(graphs: DataFrame, group: str) -> DataFrame:
 
 
 def similarity(claims: DataFrame, seen: DataFrame, by: str) -> DataFrame:
-    """by, n_matched, similarity: weighted share of claims (by, kind, symbol) seen (by, symbol), over kinds that claim anything."""
+    """by, n_matched, similarity: weighted share of claims (by, kind, symbol) seen (by, symbol), over kinds that claim anything.
+
+    Shares are decimals, so that a half rounds up whatever the order they are added in.
+    """
     known = seen.select(by, "symbol", F.lit(1).alias("_seen")).distinct()
     per = claims.select(by, "kind", "symbol").distinct().join(known, [by, "symbol"], "left").groupBy(by, "kind").agg(F.count("_seen").alias("m"), F.count("*").alias("c"))
-    weight = F.create_map(*[x for k, w in CLAIM_WEIGHTS.items() for x in (F.lit(k), F.lit(w))])[F.col("kind")]
-    total = per.groupBy(by).agg(F.sum("m").alias("n_matched"), F.sum(weight * F.col("m") / F.col("c")).alias("_w"), F.sum(weight).alias("_all"))
-    return total.select(by, "n_matched", F.round(100 * F.col("_w") / F.col("_all"), 1).alias("similarity"))
+    weight = F.create_map(*[x for k, w in CLAIM_WEIGHTS.items() for x in (F.lit(k), F.lit(round(w * 100)))])[F.col("kind")]
+    share = (weight * F.col("m")).cast("decimal(20,0)") / F.col("c").cast("decimal(18,0)")
+    total = per.groupBy(by).agg(F.sum("m").alias("n_matched"), F.sum(share).cast("decimal(22,18)").alias("_w"), F.sum(weight).cast("decimal(3,0)").alias("_all"))
+    exact = F.round(100 * F.col("_w") / F.col("_all"), 12)
+    return total.select(by, "n_matched", F.round(exact, 1).cast("double").alias("similarity"))
 
 
 def claim_symbols(value: Column) -> Column:

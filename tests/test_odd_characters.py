@@ -1,10 +1,11 @@
-"""Bare literals that decode to characters which only some engines take for printable."""
+"""Bare literals that decode to characters which only some engines take for printable, and shares that end in a half."""
 
 import base64
 
 import pytest
 
 from quillspark import catalogue
+from quillspark.operators import selection
 
 
 @pytest.mark.parametrize("name", ["bare_literals", "decoded_texts", "decoded_findings"])
@@ -13,3 +14,12 @@ def test_unassigned_and_format_characters(name, spark, same_as_sql, tmp_path):
     rows = [(k, f"key {base64.b64encode((x + ' ' * (-len(x.encode()) % 3)).encode()).decode()} end") for k, x in enumerate(said)]
     spark.createDataFrame([*rows, (90, None), (91, "")], "doc_id long, text string").coalesce(1).toPandas().to_parquet(tmp_path / "documents.parquet")
     same_as_sql(catalogue.QUERIES[name], catalogue.SQL[name], str(tmp_path))
+
+
+def test_a_half_rounds_up_whatever_the_order(spark):
+    """Doubles fall below the half here in each order of the kinds."""
+    cases = [([20, 13, 0, 9], [20, 16, 8, 20], 50.3), ([2, 13, 16, 0], [4, 16, 16, 5], 63.8), ([2, 0, 3, 2], [20, 20, 4, 4], 38.8), ([0, 0, 7, 9], [5, 4, 20, 20], 21.3)]
+    claims = [(k, kind, f"{kind}{i}") for k, (_, n, _) in enumerate(cases) for kind, size in zip(selection.CLAIM_WEIGHTS, n, strict=True) for i in range(size)]
+    seen = [(k, f"{kind}{i}") for k, (m, _, _) in enumerate(cases) for kind, size in zip(selection.CLAIM_WEIGHTS, m, strict=True) for i in range(size)]
+    got = selection.similarity(spark.createDataFrame(claims, "k long, kind string, symbol string"), spark.createDataFrame(seen, "k long, symbol string"), "k")
+    assert {r.k: (r.n_matched, r.similarity) for r in got.collect()} == {k: (sum(m), want) for k, (m, _, want) in enumerate(cases)}

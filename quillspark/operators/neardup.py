@@ -2,11 +2,13 @@
 
 Signatures of 16 slots are made by numpy on Arrow batches; texts never leave the first pass.
 Rows with one text are one row before anything else, and texts with several labels are set
-aside. Rows meet by equi-joins on label and band alone. In each round every bucket has at most one row
-that is certain to stay (it comes first in all of its buckets); only that one is compared with the
-rest of the bucket, so that a bucket never gives its pairs. Rounds keep saved tables of what is
-undecided; there are as many as the longest chain of rows, each of which has to wait for the one
-before, which in a bucket of many rows that share a band and still differ may be long.
+aside. Rows of one label and signature are one row too: whatever the first comes to, the others go.
+Two signatures that agree in all slots but one are equal without that slot, so that rows meet by
+equi-joins on label and 15 slots, and all rows of such a bucket resemble one another. Keys that one
+row alone has leave before the rounds. In each round the rows that come first in all of their buckets
+stay and the rest of these buckets goes; nothing is paired. There are as many rounds as the longest
+chain of rows, each of which has to wait for the one before. Lower thresholds meet by bands of four slots,
+where only a row that is certain to stay is compared with the rest of its bucket.
 
 Defined results: null texts are empty, and share one signature; null labels are a label of their
 own; ``seq`` is unique and says the order; repeated texts keep their first row; an empty table gives none.
@@ -75,15 +77,40 @@ def signatures(rows: DataFrame, seq: str, label: str, text: str) -> DataFrame:
     return read.mapInPandas(_signed, "seq long, label string, sig array<long>")
 
 
-def near_dedup(rows: DataFrame, seq: str, label: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
-    """seq and reason (kept, copy, conflict, near) of every row."""
-    ensure_folder(rows.sparkSession)
-    own = rows.select(F.col(seq).cast("long").alias("seq"), F.coalesce(F.col(label).cast("string"), F.lit("\0")).alias("label"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("digest"))
-    same = own.groupBy("digest").agg(F.min("seq").alias("first"), F.min("label").alias("a"), F.max("label").alias("b")).withColumnRenamed("digest", "_digest")
-    first = own.join(same, F.col("digest") == F.col("_digest")).select("seq", F.when(F.col("a") != F.col("b"), "conflict").when(F.col("seq") > F.col("first"), "copy").alias("reason")).checkpoint()
-    alone = rows.join(first.filter("reason IS NULL").select(F.col("seq").alias("_s")), F.col(seq).cast("long") == F.col("_s"), "left_semi")
+def resembling(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """seq of the rows (seq, label, sig) that an earlier row of their label resembles which stays itself."""
+    signed = signed.checkpoint()
+    first = signed.groupBy("label", "sig").agg(F.min("seq").alias("seq")).checkpoint()
+    gone = signed.join(first.select(F.col("seq").alias("_seq")), F.col("seq") == F.col("_seq"), "left_anti").select("seq")
+    if threshold * SLOTS > SLOTS - 1:
+        return gone
+    if threshold * SLOTS > SLOTS - 2:
+        return gone.unionByName(_but_for_a_slot(first))
+    return gone.unionByName(_by_bands(first, threshold))
+
+
+def _but_for_a_slot(rows: DataFrame) -> DataFrame:
+    """seq of the rows that go where two rows are alike if they agree in all slots but one."""
+    slots = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda k: F.struct(k.alias("k"), F.concat(F.slice("sig", F.lit(1), k), F.slice("sig", k + 2, F.lit(SLOTS))).alias("slots")))
+    keys = rows.select("seq", F.explode(F.transform(slots, lambda x: F.xxhash64("label", x["k"], x["slots"]))).alias("_key"))
+    several = keys.groupBy("_key").agg(F.min("seq").alias("a"), F.max("seq").alias("b")).filter("a < b").select("_key")
+    open_rows = keys.join(several, "_key", "left_semi").select(F.col("seq").alias("_seq")).distinct()
+    left = rows.join(open_rows, F.col("seq") == F.col("_seq"), "left_semi").select("seq", "label", F.explode(slots).alias("b")).select("seq", F.struct("label", "b.k", "b.slots").alias("bucket")).checkpoint()
+    gone = left.limit(0).select("seq")
+    while not left.isEmpty():
+        heads = left.groupBy("bucket").agg(F.min("seq").alias("_first")).withColumnRenamed("bucket", "_bucket")
+        met = left.join(heads, F.col("bucket") == F.col("_bucket")).select("seq", "_first")
+        stays = met.groupBy("seq").agg(F.bool_and(F.col("seq") == F.col("_first")).alias("_all")).filter("_all").select(F.col("seq").alias("_seq")).checkpoint()
+        go = met.filter(F.col("seq") > F.col("_first")).join(stays, F.col("_first") == F.col("_seq"), "left_semi").select("seq").distinct().checkpoint()
+        gone = gone.unionByName(go)
+        left = left.join(go.select(F.col("seq").alias("_seq")).unionByName(stays), F.col("seq") == F.col("_seq"), "left_anti").checkpoint()
+    return gone
+
+
+def _by_bands(rows: DataFrame, threshold: float) -> DataFrame:
+    """seq of the rows that go where two rows are alike if they share a band and agree in ``threshold`` of the slots."""
     bands = F.explode(F.transform(F.sequence(F.lit(0), F.lit(SLOTS // BAND - 1)), lambda k: F.struct(k.alias("k"), F.slice("sig", k * BAND + 1, BAND).alias("slots"))))
-    left = signatures(alone, seq, label, text).withColumn("b", bands).select("seq", "sig", F.struct("label", "b.k", "b.slots").alias("bucket")).checkpoint()
+    left = rows.withColumn("b", bands).select("seq", "sig", F.struct("label", "b.k", "b.slots").alias("bucket")).checkpoint()
     gone = left.limit(0).select("seq")
     agree = F.aggregate(F.zip_with("sig", "_sig", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
     while not left.isEmpty():
@@ -95,5 +122,16 @@ def near_dedup(rows: DataFrame, seq: str, label: str, text: str, threshold: floa
         gone = gone.unionByName(near)
         settled = near.select(F.col("seq").alias("_seq")).unionByName(stays)
         left = left.join(settled, F.col("seq") == F.col("_seq"), "left_anti").checkpoint()
+    return gone
+
+
+def near_dedup(rows: DataFrame, seq: str, label: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
+    """seq and reason (kept, copy, conflict, near) of every row."""
+    ensure_folder(rows.sparkSession)
+    own = rows.select(F.col(seq).cast("long").alias("seq"), F.coalesce(F.col(label).cast("string"), F.lit("\0")).alias("label"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("digest"))
+    same = own.groupBy("digest").agg(F.min("seq").alias("first"), F.min("label").alias("a"), F.max("label").alias("b")).withColumnRenamed("digest", "_digest")
+    first = own.join(same, F.col("digest") == F.col("_digest")).select("seq", F.when(F.col("a") != F.col("b"), "conflict").when(F.col("seq") > F.col("first"), "copy").alias("reason")).checkpoint()
+    alone = rows.join(first.filter("reason IS NULL").select(F.col("seq").alias("_s")), F.col(seq).cast("long") == F.col("_s"), "left_semi")
+    gone = resembling(signatures(alone, seq, label, text), threshold)
     near = gone.select(F.col("seq").alias("_seq"), F.lit("near").alias("_near"))
     return first.join(near, F.col("seq") == F.col("_seq"), "left").select("seq", F.coalesce("reason", "_near", F.lit("kept")).alias("reason"))

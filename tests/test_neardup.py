@@ -54,3 +54,14 @@ def test_rows_go_as_in_a_fold(spark):
     got = {x.seq: x.reason for x in neardup.near_dedup(df, "seq", "label", "text").collect()}
     assert got == want and {"kept", "copy", "conflict", "near"} == set(got.values())
     assert neardup.near_dedup(df.limit(0), "seq", "label", "text").count() == 0
+
+
+def test_rows_that_share_bands_and_differ_take_few_rounds(spark, monkeypatch):
+    """Three hundred rows in one bucket of a band, none of which resembles another, after one another; and copies of a signature."""
+    rows = [(k, "a", [1, 2, 3, 4] + [k * 20 + j for j in range(12)]) for k in range(300)] + [(300 + k, "a", [1, 2, 3, 4] + [k * 20 + j for j in range(11)] + [-1]) for k in range(4)] + [(400, "b", [1, 2, 3, 4] + list(range(12))), (401, "b", [1, 2, 3, 4] + list(range(12)))]
+    rounds = []
+    kind = type(spark.range(1))
+    whole = kind.isEmpty
+    monkeypatch.setattr(kind, "isEmpty", lambda df: rounds.append(1) or whole(df))
+    got = {r.seq for r in neardup.resembling(spark.createDataFrame(rows, "seq long, label string, sig array<long>")).collect()}
+    assert got == {300, 301, 302, 303, 401} and len(rounds) <= 3

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.lineage import ensure_folder
 from quillspark.functions.text import hash_split
+from quillspark.operators import neardup
 
 #: Review states that allow training, and the least label confidence.
 TRAINABLE_REVIEWS = ("automated_verified", "human_verified", "source_verified", "trusted_source", "verified")
@@ -191,28 +192,13 @@ def manifest(df: DataFrame) -> DataFrame:
 def greedy_near_dedup(df: DataFrame, seq: str, label: str, text: str, threshold: float = 0.9) -> DataFrame:
     """Rows that no kept earlier row of the same label resembles: 16-slot MinHash, four bands of four slots.
 
-    Candidates come from an equi-join on bands, in Spark. Whether a row goes depends on
-    which earlier ones were kept; that is settled on the verified pairs alone, in rounds: a
-    row whose similar earlier rows are all settled is settled. Rounds are as many as the
-    longest chain of similar rows, and each handles all chains at once.
+    Candidates come from equi-joins on signatures, in Spark. Whether a row goes depends on
+    which earlier ones were kept; that is settled in the rounds of ``neardup.resembling``. Rows without a label resemble none.
     """
     ensure_folder(df.sparkSession)
     tokens = F.regexp_extract_all(F.lower(text), F.lit("[A-Za-z_][A-Za-z0-9_]*|[0-9]+"), F.lit(0))
     grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_t") - 5, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(F.col("_t"), i + 1, F.lit(5)), "\x1f")))
     sig = F.array(*[F.expr(f"array_min(transform(_g, g -> xxhash64(g, {k})))") for k in range(16)])
     signed = df.select(seq, label, tokens.alias("_t")).select(seq, label, grams.alias("_g")).select(seq, label, sig.alias("sig"))
-    banded = signed.select(seq, label, "sig", F.explode(F.expr("transform(sequence(0, 3), k -> xxhash64(slice(sig, k * 4 + 1, 4), k))")).alias("band"))
-    a, b = banded.select(F.col(seq).alias("a"), F.col(label).alias("la"), F.col("sig").alias("sa"), "band"), banded.select(F.col(seq).alias("b"), F.col(label).alias("lb"), F.col("sig").alias("sb"), "band")
-    same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    alike = a.join(b, "band").filter((F.col("a") < F.col("b")) & (F.col("la") == F.col("lb"))).filter(same >= threshold * 16).select("a", "b").distinct()
-    open_pairs, kept = alike, df.select(seq).join(alike.select(F.col("b").alias(seq)).distinct(), seq, "left_anti")
-    gone = None
-    while not open_pairs.isEmpty():
-        # later rows of a kept one go; those whose earlier rows have all gone are kept
-        hit = open_pairs.join(kept.select(F.col(seq).alias("a")), "a", "left_semi").select("b").distinct()
-        gone = hit if gone is None else gone.union(hit).distinct()
-        open_pairs = open_pairs.join(gone, "b", "left_anti").join(gone.select(F.col("b").alias("a")), "a", "left_anti").join(kept.select(F.col(seq).alias("a")), "a", "left_anti")
-        open_pairs = open_pairs.checkpoint()
-        settled = df.select(seq).join(gone.select(F.col("b").alias(seq)), seq, "left_anti").join(open_pairs.select(F.col("b").alias(seq)).distinct(), seq, "left_anti")
-        kept = settled
-    return df if gone is None else df.join(gone.select(F.col("b").alias(seq)), seq, "left_anti")
+    gone = neardup.resembling(signed.filter(F.col(label).isNotNull()).select(F.col(seq).alias("seq"), F.col(label).alias("label"), "sig"), threshold)
+    return df.join(gone.select(F.col("seq").alias(seq)), seq, "left_anti")

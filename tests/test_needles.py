@@ -48,3 +48,37 @@ def test_every_match_holds_one(spark):
     assert len(rows) > 500
     for k in {x[0] for x in rows}:
         assert df.filter(F.col("k") == k).filter(~nd.may_match(F.col("low"), patterns[k])).count() == 0, patterns[k]
+
+
+def test_every_match_is_likely(spark):
+    """Whatever stands around a match, in any case, with letters that count alike without case and beside bytes that are no text."""
+    from quillspark.operators import behaviors
+    from quillspark.plans.scanning import KINDS
+
+    r, rows = random.Random(2), []
+    patterns = [x[5] for x in rules.RULES] + [x for t in (scan.GROUPS, scan.SIGNALS, scan.JAVA_APIS, scan.REVIEWED, KINDS) for x in t.values()] + [x[2] for x in scan.INDICATORS]
+    patterns += [f"(?i){x}" if "(?s)" not in x else x.replace("(?s)", "(?is)") for t in (behaviors.TOKENS, behaviors.VERSION_3) for x in t.values()] + [scan.BASE64_LITERAL, scan.HEX_LITERAL, deobfuscation.ESCAPED]
+    assert all(nd.wider(p) for p in patterns) and nd.wider(r"[a-z&&[^b]]x") == nd.wider(r"\p{L}x") == "" and nd.wider(r"(?<!a)b*[cd]\b") == r"[\x63\x64]"
+    for k, p in enumerate(patterns):
+        for _ in range(20):
+            text = sample(nd._parser.parse(p), r)
+            for a, b in (("s", "ſ"), ("k", "K"), ("i", "ı"), ("I", "İ")):
+                text = text.replace(a, b, r.randint(0, 1)) if "(?i" in p else text
+            rows.append((k, r.choice(["", "é\n", "日本 "]) + text + r.choice(["", "ü", "\n"])))
+    df = spark.createDataFrame(rows, "k int, text string").withColumn("may", nd.likely(F.col("text"), patterns)).cache()
+    matched = 0
+    for k, p in enumerate(patterns):
+        hit = df.filter(F.col("k") == k).filter(F.col("text").rlike(p.replace("(?is)", "(?isU)").replace("(?i)", "(?iU)")))
+        n, missed = hit.count(), hit.filter(~nd.is_likely(F.col("may"), k)).count()
+        matched += n
+        assert missed == 0, p
+    odd = spark.sql("SELECT cast(x'ff6576616c28c3' AS string) AS text").select(nd.likely(F.col("text"), patterns).alias("may"))
+    assert matched > 800 and odd.filter(nd.is_likely(F.col("may"), len(rules.RULES) + len(scan.GROUPS))).count() == 1
+
+
+def test_lines_are_matched_once_and_only_where_one_may_match(spark):
+    df = spark.createDataFrame([(1, "no\n a@b.org"), (2, "none\nat all"), (3, None), (4, "a@b.org\n\n12")], "doc_id int, text string")
+    found = scan.line_findings(df, "doc_id", {"mail": r"[a-z]@[a-z]", "number": "[0-9]{2}$"})
+    assert sorted(map(tuple, found.collect())) == [(1, 2, "mail"), (4, 1, "mail"), (4, 3, "number")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 2 and "find(" in plan

@@ -13,6 +13,7 @@ from itertools import accumulate
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from quillspark.functions.lineage import ensure_folder
 from quillspark.functions.text import LINE_BREAK, suffix
@@ -21,6 +22,10 @@ from quillspark.operators.selection import is_production
 #: Languages read, bytes kept of a side, characters that a side needs.
 LANGUAGES = {".go": "go", ".php": "php"}
 MAX_CODE_BYTES, MIN_CODE_CHARACTERS = 64 * 1024, 16
+#: So many values or rows (some 100 bytes each) travel with a join of ``keep_unseen``.
+MAX_BROADCAST = 500_000
+#: So many places in the order (some 50 bytes each) do.
+MAX_PLACES = 2_000_000
 _BLANK = r"[\s\x1c-\x1f]+"
 _NO_NEWLINE = "\\ No newline at end of file"
 
@@ -77,22 +82,49 @@ def read_patches(patches: DataFrame, key: str, text: str = "text", limit: int =
 
 
 def keep_unseen(rows: DataFrame, order: str, values: list[str]) -> DataFrame:
-    """Rows that share no value, in any of the columns, with an earlier row that stays. ``order`` is unique; nulls are shared with nobody.
+    """Rows that share no value, in any of the columns, with an earlier row that stays. ``order`` is unique (rows of one place in it stay or go together); nulls are shared with nobody, rows of nulls alone stay.
 
     Each round keeps the rows that come first for all their values and drops what shares one with
-    them; the rest goes on. A round shuffles keys and hashes, never the rows' other columns.
+    them; the rest goes on. A round shuffles the first row of each value (a task's rows come down to one
+    a value before), and saves the rest as order and hashes (whole numbers as they are); nothing else of a row is ever moved.
+    What a round settles is looked up by broadcast up to MAX_BROADCAST values or MAX_PLACES places; beyond, the same join shuffles.
     """
     ensure_folder(rows.sparkSession)
-    hashes = [F.sha2(F.col(v).cast("string"), 256) for v in values]
-    left = rows.select(F.col(order).alias("at"), F.explode(F.array_compact(F.array_distinct(F.array(*hashes)))).alias("value")).checkpoint()
-    kept = [rows.filter(F.coalesce(*[F.col(v).cast("string") for v in values]).isNull()).select(F.col(order).alias("at"))]
-    while not left.isEmpty():
-        first = left.groupBy("value").agg(F.min("at").alias("first"))
-        winners = left.join(first, "value").groupBy("at").agg(F.bool_and(F.col("at") == F.col("first")).alias("won")).filter("won").select("at").checkpoint()
-        taken = left.join(winners, "at").select("value").distinct()
-        left = left.join(left.join(taken, "value").select("at").distinct(), "at", "left_anti").checkpoint()
+    n = len(values)
+    small = lambda df, count: F.broadcast(df) if count <= MAX_BROADCAST else df
+    whole_numbers = all(isinstance(rows.schema[v].dataType, IntegralType) for v in values)
+    same = lambda c: c.cast("long") if whole_numbers else F.unhex(F.sha2(c.cast("string"), 256))
+    left = rows.select(F.col(order).alias("at"), *[same(F.col(v)).alias(f"v{k}") for k, v in enumerate(values)]).filter(F.coalesce(*[F.col(f"v{k}") for k in range(n)]).isNotNull())
+    kept, total = [], 0
+    while True:
+        own = F.array(*[F.col(f"v{k}") for k in range(n)])
+        first = left.select("at", F.size(F.array_compact(F.array_distinct(own))).alias("n"), F.explode(own).alias("value")).filter("value IS NOT NULL")
+        first = first.groupBy("value").agg(F.min("at").alias("at"), F.min_by("n", "at").alias("n")).checkpoint()
+        likely = first.groupBy("at").agg(F.count("*").alias("firsts"), F.min("n").alias("n")).filter("firsts >= n").select(F.col("at").alias("_at"), "firsts").checkpoint()
+        # rows of one place in the order count as one row with the values of all
+        whole = left.join(small(likely, likely.count()), F.col("at") == F.col("_at")).select("at", "firsts", F.explode(own).alias("value"))
+        winners = whole.groupBy("at", "firsts").agg(F.count_distinct("value").alias("n")).filter("firsts = n").select("at").checkpoint()
+        won = winners.count()
+        if not won:
+            break
         kept.append(winners)
-    return rows.join(reduce(DataFrame.union, kept).withColumnRenamed("at", "_kept"), F.col(order) == F.col("_kept"), "left_semi")
+        total += won
+        taken = first.join(small(winners, won), "at", "left_semi").select("value")
+        seen, marked = F.lit(False), left
+        for k in range(n):
+            marked = marked.join(small(taken.select(F.col("value").alias(f"t{k}")), n * won), F.col(f"v{k}") == F.col(f"t{k}"), "left")
+            seen = seen | F.col(f"t{k}").isNotNull()
+        rest = marked.filter(~seen).select(left.columns).checkpoint()
+        places = rest.select(F.col("at").alias("_at")).distinct().checkpoint()
+        count = places.count()
+        places = F.broadcast(places) if count <= MAX_PLACES else places
+        torn = marked.filter(seen).select("at").join(places, F.col("at") == F.col("_at"), "left_semi").distinct().checkpoint()
+        left = rest.join(small(torn, count), "at", "left_anti").checkpoint()
+    bare = F.coalesce(*[F.col(v).cast("string") for v in values]).isNull()
+    if not kept:
+        return rows.filter(bare)
+    stays = reduce(DataFrame.union, kept).select(F.col("at").alias("_kept"))
+    return rows.join(small(stays, total), F.col(order) == F.col("_kept"), "left").filter(F.col("_kept").isNotNull() | bare).drop("_kept")
 
 
 def changed_regions(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:

@@ -388,6 +388,42 @@ def test_keep_unseen(spark):
     assert patches.keep_unseen(spark.createDataFrame([], "k long, bad long, good long"), "k", ["bad", "good"]).count() == 0
 
 
+def test_keep_unseen_moves_first_rows_only(spark, monkeypatch):
+    """Rows in plenty of a few values: a round writes a row for each value and task, whatever the rows carry; places that repeat; joins by broadcast or by shuffle."""
+    import random
+    import time
+
+    from pyspark.sql import functions as F
+
+    from quillspark.operators import patches
+
+    random.seed(7)
+    rows = [(random.randrange(300), random.choice([None, *range(90)]), random.choice([None, *range(100, 160)])) for _ in range(500)]
+    places, seen, kept = {}, set(), set()
+    for k, *pair in rows:
+        places.setdefault(k, set()).update(v for v in pair if v is not None)
+    for k in sorted(places):
+        if places[k] and not places[k] & seen:
+            kept.add(k)
+            seen |= places[k]
+    want = sorted((r for r in rows if r[0] in kept or r[1] is r[2] is None), key=str)
+    for most in (patches.MAX_BROADCAST, 0):
+        monkeypatch.setattr(patches, "MAX_BROADCAST", most)
+        monkeypatch.setattr(patches, "MAX_PLACES", most)
+        assert sorted(map(tuple, patches.keep_unseen(spark.createDataFrame(rows, "k long, bad long, good long"), "k", ["bad", "good"]).collect()), key=str) == want
+    monkeypatch.undo()
+    summary = spark.sparkContext._jsc.sc().statusStore().executorList
+
+    def at():
+        time.sleep(1)
+        return summary(True).apply(0).totalShuffleWrite()
+
+    df = spark.range(400_000, numPartitions=4).select(F.col("id").alias("k"), (F.col("id") % 50).alias("bad"), (F.col("id") % 70 + 1000).alias("good"))
+    before = at()
+    assert patches.keep_unseen(df, "k", ["bad", "good"]).count() == 50
+    assert at() - before < 2_000_000
+
+
 def test_family_splits(spark):
     import hashlib
     import random

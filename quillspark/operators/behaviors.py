@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions.needles import is_likely, likely
+
 #: Tokens and their patterns, without case; DOTALL only where it says so.
 TOKENS = {
     "__bt_process_exec__": r"(?:\b(?:invoke-expression|iex|start-process|cmd(?:\.exe)?|powershell(?:\.exe)?|createprocess(?:a|w)?|winexec|shellexecute|system|popen|execve|os/exec|exec\.command|command::new|std::process::command)\b)",
@@ -50,8 +52,14 @@ CHAINS_3 = {
 }
 
 
+def _folded(pattern: str) -> str:
+    """The pattern without case, with its flags in one place."""
+    return "(?is)" + pattern[4:] if pattern.startswith("(?s)") else f"(?i){pattern}"
+
+
 def _named(text: Column, table: dict[str, str]) -> Column:
-    return F.array_compact(F.array(*[F.when(text.rlike(f"(?iU){p}"), F.lit(t)) for t, p in table.items()]))
+    may = likely(text, [_folded(p) for p in table.values()])
+    return F.array_compact(F.array(*[F.when(is_likely(may, k) & text.rlike(f"(?iU){p}"), F.lit(t)) for k, (t, p) in enumerate(table.items())]))
 
 
 def _chained(tokens: Column, chains: dict[str, tuple[str, str]]) -> Column:

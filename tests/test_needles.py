@@ -82,3 +82,14 @@ def test_lines_are_matched_once_and_only_where_one_may_match(spark):
     assert sorted(map(tuple, found.collect())) == [(1, 2, "mail"), (4, 1, "mail"), (4, 3, "number")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") == 2 and "find(" in plan
+
+
+def test_rules_and_behaviors_look_once_before_they_match(spark):
+    from quillspark.operators import behaviors
+
+    df = spark.createDataFrame([(1, "nothing here"), (2, "verify=False\neval(x)\nſchtaskS /create"), (3, None)], "doc_id int, text string")
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    hits = rules.scan_lines(df, "doc_id")
+    assert "find(" in plan(hits) and {r.doc_id for r in hits.collect()} == {2}
+    told = df.select("doc_id", behaviors.behavior_tokens(F.col("text"), F.lit("python"), 3).alias("t"))
+    assert plan(told).count("find(") >= 1 and dict(map(tuple, told.collect())) == {1: [], 2: ["__bt_persistence__"], 3: []}

@@ -12,11 +12,14 @@ their keys differ (a key is one text); further columns aren't read.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import accumulate, pairwise
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.lineage import ensure_folder
 from quillspark.functions.masking import mask_udf
+from quillspark.functions.needles import is_likely, likely
 from quillspark.operators import scan
 from quillspark.operators.rules import active, unicode_pattern
 
@@ -93,20 +96,21 @@ def _from_hex(value: Column) -> Column:
     return F.when(F.length(value) % 2 == 0, F.unhex(value))
 
 
-def _matches(text: Column, rank: int, pattern: str, group: int, decode) -> Column:
+def _matches(text: Column, may: Column, rank: int, pattern: str, group: int, decode) -> Column:
     """Array of what a pattern's matches decode to. ``decode`` takes the group's text and gives a struct of encoding and text (null if none)."""
-    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"), F.split(text, pattern, -1).alias("between"))
-    ends = lambda lists, n: F.aggregate(F.slice(lists, F.lit(1), n), F.lit(0), lambda a, x: a + _lines(x))
+    # the pattern goes over the text once: no match hangs on what stands around it, so that its group is found in the match, its place as that string's next one
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<value:string,source:string,at:int>>").alias("m"))
 
-    def of(m: Column):
-        def one(x: Column, i: Column) -> Column:
-            line = (ends(m["whole"], i) + ends(m["between"], i + 1) + 1).cast("int")
-            return _let(decode(F.get(m["value"], i)), lambda d: F.struct(F.lit(rank).alias("rank"), d["encoding"].alias("encoding"), F.substring(x, 1, SOURCE).alias("source"), F.substring(d["text"], 1, BYTES).alias("decoded"), line.alias("line")))
+    def place(a: Column, x: Column) -> Column:
+        own = lambda p: F.struct((p + F.length(x)).alias("at"), F.concat(a["m"], F.array(F.struct(F.regexp_extract(x, pattern, group).alias("value"), F.substring(x, 1, SOURCE).alias("source"), p.alias("at")))).alias("m"))
+        return _let(F.position(x, text, a["at"]), own)
 
-        return one
+    def one(m: Column) -> Column:
+        line = (_lines(F.substring(text, F.lit(1), m["at"] - 1)) + 1).cast("int")
+        return _let(decode(m["value"]), lambda d: F.struct(F.lit(rank).alias("rank"), d["encoding"].alias("encoding"), m["source"].alias("source"), F.substring(d["text"], 1, BYTES).alias("decoded"), line.alias("line")))
 
-    found = _let(parts, lambda m: F.filter(F.transform(m["whole"], of(m)), lambda x: F.length(x["decoded"]) > 0))
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_KIND))
+    placed = F.aggregate(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), start, place, lambda a: a["m"])
+    return F.when(may, F.filter(F.transform(placed, one), lambda x: F.length(x["decoded"]) > 0)).otherwise(F.array().cast(_KIND))
 
 
 def _zeros(hexed: Column, at: int) -> Column:
@@ -158,19 +162,32 @@ def unescaped(value: Column) -> Column:
     return _let(F.transform(F.regexp_extract_all(value, F.lit(HEX_RUN), F.lit(0)), _run), of_runs)
 
 
-def _candidates(text: Column, language: Column) -> Column:
-    """All that a text's literals decode to but for bare literals, by rank of the kind."""
+#: Patterns of literals in the order in which ``_candidates`` takes what may be there.
+LITERALS = (CHAR_CODES, ATOB, BASE64_CALL, HEX_CALL, ESCAPED, ENCODED_COMMAND, scan.BASE64_LITERAL, scan.HEX_LITERAL)
+
+
+def _candidates(text: Column, language: Column, may: list[Column], odd: str) -> Column:
+    """All that a text's literals decode to, by rank of the kind, with its place (``at``) in that of bare or other literals."""
     script, none = language.isin(*SCRIPTS), F.array().cast(_KIND)
     strict = lambda v: F.when((F.length(v) % 4 == 0) & v.rlike("^[A-Za-z0-9+/]*={0,2}$"), _utf8(_from_base64(v)))
     kind = lambda name, text: lambda v: F.struct(F.lit(name).alias("encoding"), text(v).alias("text"))
-    return F.concat(
-        F.when(script, _matches(text, 0, CHAR_CODES, 1, kind("fromCharCode", scan.char_codes))).otherwise(none),
-        F.when(script, _matches(text, 1, ATOB, 2, kind("base64", strict))).otherwise(none),
-        _matches(text, 3, BASE64_CALL, 2, kind("base64-call", lambda v: readable(_from_base64(v), "UTF-8", "UTF-16LE"))),
-        _matches(text, 4, HEX_CALL, 2, kind("hex-call", lambda v: readable(_from_hex(v)))),
-        _matches(text, 5, ESCAPED, 2, unescaped),
-        F.when(language == "powershell", _matches(text, 7, ENCODED_COMMAND, 2, kind("powershell-encoded-command", lambda v: readable(_from_base64(v), "UTF-16LE", "UTF-8")))).otherwise(none),
+    found = F.concat(
+        F.when(script, _matches(text, may[0], 0, CHAR_CODES, 1, kind("fromCharCode", scan.char_codes))).otherwise(none),
+        F.when(script, _matches(text, may[1], 1, ATOB, 2, kind("base64", strict))).otherwise(none),
+        _matches(text, may[2], 3, BASE64_CALL, 2, kind("base64-call", lambda v: readable(_from_base64(v), "UTF-8", "UTF-16LE"))),
+        _matches(text, may[3], 4, HEX_CALL, 2, kind("hex-call", lambda v: readable(_from_hex(v)))),
+        _matches(text, may[4], 5, ESCAPED, 2, unescaped),
+        F.when(language == "powershell", _matches(text, may[5], 7, ENCODED_COMMAND, 2, kind("powershell-encoded-command", lambda v: readable(_from_base64(v), "UTF-16LE", "UTF-8")))).otherwise(none),
     )
+    placed = lambda rank: lambda x, k: F.struct((x["rank"] if rank is None else rank).alias("rank"), k.alias("at"), x["encoding"].alias("encoding"), x["source"].alias("source"), x["decoded"].alias("decoded"), x["line"].cast("int").alias("line"))
+    return F.concat(F.transform(scan.literal_list(text, may[6:], odd=odd), placed(F.when(script, 2).otherwise(6))), F.transform(found, placed(None)))
+
+
+def _once(found: DataFrame, key: str, level: int) -> DataFrame:
+    """Of what texts decode to (key, _l, _line, _p, rank, at, encoding, source, decoded, line) each (decoded, line) once, at most 160 of a text."""
+    each = found.withColumn("line", F.coalesce("_line", "line")).groupBy(key, "_l", "decoded", "line").agg(F.min(F.struct("rank", "_p", "at", "encoding", "source")).alias("_f"))
+    seq = F.row_number().over(Window.partitionBy(key).orderBy("_f.rank", "_f._p", "_f.at", "decoded")) - 1
+    return each.select(key, "_l", F.lit(level).alias("depth"), seq.alias("seq"), "_f.encoding", "_f.source", "decoded", "line", F.col("_f.rank").alias("rank")).filter(F.col("seq") < LIMIT)
 
 
 def decoded(docs: DataFrame, key: str, text: str = "text", language: str = "language", depth: int = 1, masked: bool = False, odd: str = scan.UNPRINTABLE) -> DataFrame:
@@ -184,13 +201,9 @@ def decoded(docs: DataFrame, key: str, text: str = "text", language: str = "lang
     rows = docs.select(key, named.alias("_l"), (body if masked else mask_udf(body, named)).alias("_t"), F.lit(None).cast("int").alias("_line"), F.lit(0).alias("_p"))
     out = []
     for level in range(1, depth + 1):
-        found = rows.select(key, "_l", "_line", "_p", F.posexplode(_candidates(F.col("_t"), F.col("_l"))).alias("_at", "_x")).select(key, "_l", "_line", "_p", "_at", "_x.*")
-        bare = scan.decoded_literals(rows.withColumn("_k", F.struct(key, "_l", "_line", "_p")), "_k", "_t", odd=odd).select("_k.*", F.col("seq").alias("_at"), "encoding", "source", "decoded", F.col("line").cast("int").alias("line"))
-        both = bare.withColumn("rank", F.when(F.col("_l").isin(*SCRIPTS), 2).otherwise(6)).unionByName(found)
-        both = both.withColumn("line", F.coalesce("_line", "line"))
-        each = both.groupBy(key, "_l", "decoded", "line").agg(F.min(F.struct("rank", "_p", "_at", "encoding", "source")).alias("_f"))
-        seq = F.row_number().over(Window.partitionBy(key).orderBy("_f.rank", "_f._p", "_f._at", "decoded")) - 1
-        each = each.select(key, "_l", F.lit(level).alias("depth"), seq.alias("seq"), "_f.encoding", "_f.source", "decoded", "line", F.col("_f.rank").alias("rank")).filter(F.col("seq") < LIMIT)
+        seen = rows.withColumn("_may", likely(F.col("_t"), LITERALS))
+        made = _candidates(F.col("_t"), F.col("_l"), [is_likely(F.col("_may"), k) for k in range(len(LITERALS))], odd)
+        each = _once(seen.select(key, "_l", "_line", "_p", F.explode(made).alias("_x")).select(key, "_l", "_line", "_p", "_x.*"), key, level)
         out.append(each)
         rows = each.select(key, "_l", F.col("decoded").alias("_t"), F.col("line").alias("_line"), F.col("seq").alias("_p"))
     return reduce(DataFrame.unionByName, out).withColumnRenamed("_l", "language")
@@ -207,7 +220,10 @@ def findings(docs: DataFrame, key: str, text: str = "text", language: str = "lan
 
     Script languages have rules of their own; lines where those find something aren't looked at by the others.
     """
-    said = decoded(docs, key, text, language, 1, masked, odd)
+    return _dangerous(decoded(docs, key, text, language, 1, masked, odd), key)
+
+
+def _dangerous(said: DataFrame, key: str) -> DataFrame:
     flat = F.substring(_strip(F.regexp_replace("decoded", r"(?U)[\s\x1C-\x1F]+", " ")), 1, PREVIEW)
     script = F.col("language").isin(*SCRIPTS) & (F.col("rank") <= 2) & (F.col("seq") < SCRIPT_LIMIT)
     own = said.withColumn("_own", F.when(script, _first_rule(F.col("decoded"), SCRIPT_DANGEROUS)))
@@ -223,16 +239,26 @@ def findings(docs: DataFrame, key: str, text: str = "text", language: str = "lan
 def static_evidence(docs: DataFrame, key: str, text: str = "text", language: str = "language") -> DataFrame:
     """What static analysis says of each text: key, seq, source, rule_id, risk_type, severity, line, at most 160 of a text.
 
-    Comments are masked once. Indicators come first, then decoded literals, then chains of behaviours;
+    Comments are masked and each text is read once; what is found there is saved as a row a text, since three
+    kinds of evidence are made of it. Indicators come first, then decoded literals, then chains of behaviours;
     findings that only the rule engine may make are left out.
     """
+    ensure_folder(docs.sparkSession)
     named = F.lower(F.trim(F.coalesce(F.col(language), F.lit("unknown"))))
-    clear = docs.select(key, named.alias("language"), mask_udf(F.coalesce(F.col(text), F.lit("")), named).alias("text"))
+    clear = docs.select(key, named.alias("_l"), mask_udf(F.coalesce(F.col(text), F.lit("")), named).alias("_t"))
+    wanted = [[p for _, _, p in scan.INDICATORS], LITERALS, list(scan.GROUPS.values())]
+    clear = clear.withColumn("_may", likely(F.col("_t"), [p for part in wanted for p in part]))
+    starts = [0, *accumulate(map(len, wanted))]
+    may = [[is_likely(F.col("_may"), k) for k in range(a, b)] for a, b in pairwise(starts)]
+    seen = clear.select(
+        key, "_l", scan.indicator_list(F.col("_t"), may[0]).alias("_all"), _candidates(F.col("_t"), F.col("_l"), may[1], scan.UNPRINTABLE).alias("_said"), scan.group_hits(F.col("_t"), may[2]).alias("_hits"),
+    ).checkpoint()
+    said = seen.select(key, "_l", F.lit(None).cast("int").alias("_line"), F.lit(0).alias("_p"), F.explode("_said").alias("_x")).select(key, "_l", "_line", "_p", "_x.*")
     row = lambda df, part, source, seq, rule, risk, line: df.select(key, F.lit(part).alias("part"), F.lit(source).alias("source"), seq.cast("int").alias("_at"), rule.alias("rule_id"), risk.alias("risk_type"), F.col("severity").cast("int").alias("severity"), line.cast("int").alias("line"))
     found = [
-        row(scan.indicators(clear, key), 0, "strings_ioc", F.col("seq"), F.concat(F.lit("IOC-"), F.upper("kind")), F.lit("context"), F.col("line")),
-        row(findings(clear, key, masked=True), 1, "source_deobfuscation", F.col("seq"), F.col("rule_id"), F.col("risk_type"), F.col("line")),
-        row(scan.chains(clear, key), 2, "behavior_chain", F.col("left_at"), F.col("rule_id"), F.col("risk_type"), F.col("left_at")),
+        row(scan.listed_indicators(seen, key, "_all"), 0, "strings_ioc", F.col("seq"), F.concat(F.lit("IOC-"), F.upper("kind")), F.lit("context"), F.col("line")),
+        row(_dangerous(_once(said, key, 1).withColumnRenamed("_l", "language"), key), 1, "source_deobfuscation", F.col("seq"), F.col("rule_id"), F.col("risk_type"), F.col("line")),
+        row(scan.paired(seen.select(key, F.explode("_hits").alias("_h")).select(key, "_h.*"), key), 2, "behavior_chain", F.col("left_at"), F.col("rule_id"), F.col("risk_type"), F.col("left_at")),
     ]
     rows = active(reduce(DataFrame.unionByName, found))
     seq = F.row_number().over(Window.partitionBy(key).orderBy("part", "_at", "rule_id")) - 1

@@ -159,3 +159,13 @@ def test_dangerous_literals_and_their_limit(spark):
     assert deob.findings(df.limit(0), "id").count() == 0
     seen = deob.static_evidence(df, "id").collect()
     assert {r.source for r in seen} == {"source_deobfuscation", "behavior_chain"} and max(r.seq for r in seen) < 160
+
+
+def test_evidence_reads_each_text_once(spark):
+    """Whatever evidence is made of, the texts go through masks and patterns once; what is found stands where it is, also if it comes twice."""
+    call = "x = base64.b64decode('ZXZhbCh4KQ==')"
+    df = spark.createDataFrame([(1, f"{call}\n\n{call}{call}\nhttps://a.example.com/x", "python"), (2, None, None)], "id long, text string, language string")
+    seen = deob.static_evidence(df, "id")
+    assert "Python" not in seen._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.source, r.line) for r in seen.collect())
+    assert [x for x in got if x[0] == "source_deobfuscation"] == [("source_deobfuscation", 1), ("source_deobfuscation", 3)] and ("strings_ioc", 4) in got

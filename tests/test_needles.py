@@ -93,3 +93,11 @@ def test_rules_and_behaviors_look_once_before_they_match(spark):
     assert "find(" in plan(hits) and {r.doc_id for r in hits.collect()} == {2}
     told = df.select("doc_id", behaviors.behavior_tokens(F.col("text"), F.lit("python"), 3).alias("t"))
     assert plan(told).count("find(") >= 1 and dict(map(tuple, told.collect())) == {1: [], 2: ["__bt_persistence__"], 3: []}
+
+
+def test_blanks_beyond_ascii_are_one_character():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = pa.array([f"exec{b}(".encode() for b in (" ", "\u00a0", "\u2003", "\x1c")])
+    assert pc.match_substring_regex(texts, nd.wider(r"exec\s\(")).to_pylist() == [True] * 4 and not pc.match_substring_regex(pa.array([b"exec x ("]), nd.wider(r"exec\s*\("))[0].as_py()

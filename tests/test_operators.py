@@ -502,3 +502,16 @@ def test_changed_regions(spark):
     pairs = [(1, "a\nb\nc", "a\nx\ny\nc"), (2, "a\nb", "a\nb"), (3, None, "n"), (4, "a\nb\nc", "a\nc"), (5, "a\nb", "a\nn\nb"), (6, "", None)]
     rows = patches.changed_regions(spark.createDataFrame(pairs, "id long, old string, new string"), "id", "old", "new").collect()
     assert {(r.id, r.start_line, r.end_line, tuple(r.added)) for r in rows} == {(1, 2, 2, ("x", "y")), (3, 1, 1, ("n",)), (4, 2, 2, ()), (5, 2, 2, ("n",))}
+
+
+def test_evidence_order_from_one_pass(spark, tmp_path):
+    """Null times are one line, null types count as rules where nothing else is there, as in the SQL; no side is joined with the other."""
+    from quillspark.plans.selection import QUERIES
+
+    rows = [(1, 1, None, "view"), (2, 1, None, "click"), (3, 1, 5, None), (4, 1, 6, "view"), (5, 1, 6, None), (6, 2, 9, "click"), (7, 2, 9, "view"), (8, 2, 9, "view")]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, t long, event_type string")
+    df.select("event_id", "user_id", F.timestamp_seconds("t").alias("ts"), "event_type").write.parquet(f"{tmp_path}/events.parquet")
+    found = QUERIES["evidence_order"](spark, str(tmp_path))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.user_id, r.place, r.line, r.basis) for r in found.collect())
+    assert got == [(1, 1, None, "ai_and_rule"), (1, 2, 6, "ai_only"), (1, 3, 5, "rule_only"), (2, 1, 9, "ai_and_rule")]

@@ -103,11 +103,13 @@ def by_stem(files: DataFrame, expected: DataFrame, path: str, name: str) -> Data
 def resolve(references: DataFrame, files: DataFrame, by: str = "project", target: str = "target", path: str = "path") -> DataFrame:
     """Add ``file`` to references: the file of that path, else the only one that ends so, else the only one of that stem.
 
-    Endings are made from the files (one for each folder), so that all three are equi-joins.
+    Endings are made from the files (one for each folder), so that all three are equi-joins. They are dealt
+    before they are counted: a count that keeps a path is sorted, and most endings are there once, so that
+    sorting all of a split of the input first would take memory and save nothing.
     """
     parts = F.split(path, "/")
     ends = files.select(by, path, F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))).alias("_end"))
-    one = lambda df, key, name: df.groupBy(by, key).agg(F.min(path).alias(name), F.count("*").alias("_n")).filter("_n = 1").drop("_n")
+    one = lambda df, key, name: df.repartition(by, key).groupBy(by, key).agg(F.min(path).alias(name), F.count("*").alias("_n")).filter("_n = 1").drop("_n")
     exact = files.select(by, F.col(path).alias(target), F.col(path).alias("_exact")).distinct()
     endings = one(ends, "_end", "_by_end").withColumnRenamed("_end", target)
     stems = one(files.select(by, path, stem(path).alias("_stem")), "_stem", "_by_stem")

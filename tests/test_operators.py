@@ -515,3 +515,11 @@ def test_evidence_order_from_one_pass(spark, tmp_path):
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
     got = sorted((r.user_id, r.place, r.line, r.basis) for r in found.collect())
     assert got == [(1, 1, None, "ai_and_rule"), (1, 2, 6, "ai_only"), (1, 3, 5, "rule_only"), (2, 1, 9, "ai_and_rule")]
+
+
+def test_endings_are_dealt_before_they_are_counted(spark):
+    df = spark.createDataFrame([("p", "a/b/x.py"), ("p", "c/x.py"), ("p", "c/y.py")], "project string, path string")
+    want = spark.createDataFrame([("p", "c/x.py"), ("p", "x.py"), ("p", "b/x.py"), ("p", "y")], "project string, target string")
+    found = selection.resolve(want, df)
+    assert found._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_COL") >= 2
+    assert {(r.target, r.file) for r in found.collect()} == {("c/x.py", "c/x.py"), ("x.py", None), ("b/x.py", "a/b/x.py"), ("y", "c/y.py")}

@@ -11,6 +11,7 @@ from functools import reduce
 from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -127,27 +128,39 @@ def keep_unseen(rows: DataFrame, order: str, values: list[str]) -> DataFrame:
     return rows.join(small(stays, total), F.col(order) == F.col("_kept"), "left").filter(F.col("_kept").isNotNull() | bare).drop("_kept")
 
 
+#: Regions and characters that a task gathers before it hands them on.
+SENT_ROWS, SENT_CHARS = 1_000, 4_000_000
+
+
 def changed_regions(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:
     """key, start_line, end_line, added: for each place where two texts differ, the lines of the old one and what the new one has there.
 
     Lines are matched by longest common runs, popular ones too. Places of insertion hold the line they stand before.
     Null texts are empty; equal texts give no row.
     """
+    schema = pairs.select(key, F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.array(F.lit("")).alias("added")).schema
 
-    def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for k, old, new in zip(frame["k"], frame["old"], frame["new"], strict=True):
-                old, new = old.splitlines(), new.splitlines()
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda rows, types: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[key, "start_line", "end_line", "added"])
+        for batch in batches:
+            types = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.list_(pa.string())]
+            # one pair's texts at a time, and what comes of them goes before it is much
+            rows, chars = [], 0
+            for k, old, new in zip(*batch.columns, strict=True):
+                old, new = old.as_py().splitlines(), new.as_py().splitlines()
                 for kind, a, b, c, d in difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
                     if kind != "equal":
-                        rows.append((k, a + 1, max(a + 1, b), new[c:d]))
-            yield pd.DataFrame(rows, columns=[key, "start_line", "end_line", "added"])
+                        rows.append((k.as_py(), a + 1, max(a + 1, b), new[c:d]))
+                        chars += sum(map(len, new[c:d]))
+                if len(rows) >= SENT_ROWS or chars >= SENT_CHARS:
+                    yield made(rows, types)
+                    rows, chars = [], 0
+            if rows:
+                yield made(rows, types)
 
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = pairs.select(F.col(key).alias("k"), text(before).alias("old"), text(after).alias("new"))
-    schema = pairs.select(key, F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.array(F.lit("")).alias("added")).schema
-    return rows.mapInPandas(go, schema)
+    return rows.mapInArrow(go, schema)
 
 
 def differences(pairs: DataFrame, keys: list[str], before: str, after: str) -> DataFrame:

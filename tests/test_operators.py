@@ -523,3 +523,15 @@ def test_endings_are_dealt_before_they_are_counted(spark):
     found = selection.resolve(want, df)
     assert found._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_COL") >= 2
     assert {(r.target, r.file) for r in found.collect()} == {("c/x.py", "c/x.py"), ("x.py", None), ("b/x.py", "a/b/x.py"), ("y", "c/y.py")}
+
+
+def test_regions_are_handed_on_in_parts(spark, monkeypatch):
+    from quillspark.operators import patches
+
+    monkeypatch.setattr(patches, "SENT_ROWS", 3)
+    df = spark.createDataFrame([(str(k), f"a\nb{k}\nc", f"a\nx{k}\nc\nd") for k in range(10)] + [("n", None, "y"), ("s", "y", "y")], "id string, old string, new string").coalesce(1)
+    found = patches.changed_regions(df, "id", "old", "new")
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    want = {(str(k), 2, 2, (f"x{k}",)) for k in range(10)} | {(str(k), 4, 4, ("d",)) for k in range(10)} | {("n", 1, 1, ("y",))}
+    rows = found.collect()
+    assert len(rows) == len(want) and {(r.id, r.start_line, r.end_line, tuple(r.added)) for r in rows} == want

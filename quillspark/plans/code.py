@@ -84,9 +84,10 @@ def _window_dataset(s, d):
     rest = rest.join(table(s, d, "labels").select("doc_id", "toxic"), "doc_id", "left").withColumn("bad", F.coalesce("toxic", F.lit(0)) == 1)
     kept = windows.limit_negatives(rest, ~F.col("bad"), made.filter("label = 1"), LIMITS)
     single = windows.source_windows(kept, "doc_id", F.col("bad")).withColumn("slot", F.lit(""))
-    both = made.withColumn("part", F.lit(0)).unionByName(single.withColumn("part", F.lit(1)))
+    # a digest stands for the code from here on: windows are the same where it is, and what is sorted stays short
+    both = made.withColumn("part", F.lit(0)).unionByName(single.withColumn("part", F.lit(1))).withColumn("code", F.sha2("code", 256))
     family = table(s, d, "documents").select("doc_id", F.col("source").alias("family"))
-    return windows.first_of_each(both.join(family, "doc_id"), ["part", "doc_id", "seq"]).withColumn("code", F.sha2("code", 256)).drop("part")
+    return windows.first_of_each(both.join(family, "doc_id"), ["part", "doc_id", "seq"]).drop("part")
 
 
 TRUSTED = {"malicious": ("src0", "src1", "src2", "src3"), "vulnerable": ("src0", "src5", "src6", "src7", "src8", "src9")}

@@ -169,3 +169,14 @@ def test_evidence_reads_each_text_once(spark):
     assert "Python" not in seen._jdf.queryExecution().executedPlan().toString()
     got = sorted((r.source, r.line) for r in seen.collect())
     assert [x for x in got if x[0] == "source_deobfuscation"] == [("source_deobfuscation", 1), ("source_deobfuscation", 3)] and ("strings_ioc", 4) in got
+
+
+def test_window_dataset_sorts_digests(spark, monkeypatch):
+    """What is grouped and sorted holds a digest of each window, not its bytes."""
+    from conftest import DATA
+
+    from quillspark.plans import code
+    from quillspark.operators import windows
+
+    monkeypatch.setattr(windows, "first_of_each", lambda df, order: df)
+    assert code._window_dataset(spark, DATA).filter(F.length("code") != 64).limit(1).count() == 0

@@ -1,8 +1,15 @@
 """The poisoning audit on rows made by hand, and on none."""
 
+import os
+import shutil
+
+import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import audit, poisoning as po
+from quillspark.operators import audit, poisoning as po, scan
+from quillspark.plans import poisoned
+
+DATA = os.environ.get("QUILL_TEST_DIR", "/root/testdata/sf0.001")
 
 KIND = "k long, text string, label string, split string, source string"
 
@@ -39,3 +46,45 @@ def test_nothing_to_find(spark):
     clean = spark.createDataFrame(rows()[:12], KIND)
     marks, _ = po.marked(clean, "k")
     assert po.report(marks, po.findings(marks), 0.0, 0.0).first().repaired_gate == "passed" and po.sanitised(clean, marks, "k").count() == 12
+
+
+def test_a_text_is_read_for_triggers_and_marks_alone(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    df = spark.createDataFrame(rows(), KIND).repartition(4).withColumn("text", seen("text"))
+    marks, _ = po.marked(df, "k")
+    found = po.findings(marks)
+    assert len(found.collect()) == 5 and po.report(marks, found, 0.5, 0.0).first().samples == 29
+    assert read.value <= 2 * 29
+
+
+def test_support_of_one_look_is_that_of_two(spark):
+    long = " ".join(f"name_{k}" for k in range(audit.TOKENS + 5))
+    texts = ["# alpha_one beta", "// alpha_one\n/* gamma_two alpha_one */ x", "alpha_one <!-- gamma_two ALPHA_ONE", None, "", "* " + "wide" * 30, "# " + "some words " * 40, f"{long} # gamma_two"]
+    df = spark.createDataFrame([(k, t, "malicious" if k % 9 == 8 else "benign") for k, t in enumerate(texts * 2 + [None] * 4)], "k long, text string, label string")
+    two = audit.triggers(audit.features(df, "k", "label", "text"), df, "label", "text").collect()
+    one = audit.pointing(audit.all_support(df, "label", "text"), F.lit(df.count())).collect()
+    assert len(one) > 3 and {r.token for r in one} >= {"alpha_one", "gamma_two"} and sorted(one) == sorted(two)
+
+
+def test_signals_are_the_same_by_small_letters(spark):
+    texts = ["EVAL (x)", "Os.System; rm  -RF", "CMD.EXE", "Curl x", "BASE64.b64decode", "VirtualAllocEx", "Pickle.Load", "winSock", "ſubprocess. eval", "\u212aonnect( connect(", "", "rest in prose"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", scan.signals(F.col("t")).alias("a"), scan.signals(F.col("t"), F.lower("t")).alias("b"))
+    got = df.collect()
+    assert all(r.a == r.b for r in got) and {n for r in got for n in r.a} >= set(scan.SIGNALS) - {"socket"}
+
+
+@pytest.mark.parametrize("name", ["poisoning_findings", "poisoning_report"])
+def test_rows_of_one_id_stay_as_many(same_as_sql, tmp_path, name):
+    import duckdb
+
+    for f in os.listdir(DATA):
+        shutil.copy(f"{DATA}/{f}", tmp_path / f) if f != "documents.parquet" else None
+    twice = "SELECT d.* FROM d JOIN labels USING (doc_id) WHERE doc_id % 25 = 3"
+    duckdb.sql(f"COPY (WITH d AS (SELECT * FROM '{DATA}/documents.parquet'), labels AS (SELECT * FROM '{DATA}/labels.parquet') SELECT * FROM d UNION ALL {twice}) TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    same_as_sql(poisoned.QUERIES[name], poisoned.SQL[name], str(tmp_path))

@@ -1,6 +1,6 @@
 """Near-duplicates by the order of rows: a row goes if an earlier row that stays resembles it.
 
-Signatures of 16 slots are made by numpy on Arrow batches; texts never leave the first pass.
+Signatures of 16 slots are made by numpy on Arrow batches, of every run of tokens of the whole text; texts never leave the first pass.
 Rows with one text are one row before anything else, and texts with several labels are set
 aside. Rows of one label and signature are one row too: whatever the first comes to, the others go.
 Two signatures that agree in all slots but one are equal without that slot, so that rows meet by
@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -28,17 +29,19 @@ from pyspark.sql import functions as F
 from quillspark.functions.lineage import ensure_folder
 from quillspark.functions.text import normalize_code
 
-#: What counts as a token, tokens and shingles that a very long text keeps, slots, bands, and the numbers of the hash family.
+#: What counts as a token, tokens and shingles that ``shingles`` keeps of a very long text, slots, bands, and the numbers of the hash family.
 TOKEN = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*|\d+|[^\s]", re.UNICODE)
 MOST_TOKENS, ENDS, MIDDLE, SHINGLE, MOST_SHINGLES = 4096, 1536, 512, 5, 512
 SLOTS, BAND, THRESHOLD = 16, 4, 0.9
 PRIME, STEP = 2**64 - 59, 1_000_003
+#: Tokens of a text that are looked at together.
+AT_ONCE = 8192
 
 _U = np.uint64
 
 
 def shingles(text: str) -> set[str]:
-    """Runs of five tokens of a normalised text; of very long texts those of both ends and the middle, of many those with the least SHA-1."""
+    """Runs of five tokens of a normalised text as the rule it follows bounds them: of very long texts those of both ends and the middle, of many those with the least SHA-1. Signatures are of all runs."""
     low = text.lower()
     tokens = TOKEN.findall(low)
     if len(tokens) > MOST_TOKENS:
@@ -48,6 +51,19 @@ def shingles(text: str) -> set[str]:
     return found if len(found) <= MOST_SHINGLES else set(sorted(found, key=lambda x: hashlib.sha1(x.encode()).digest())[:MOST_SHINGLES])
 
 
+def _hashes(text: str) -> Iterator[np.ndarray]:
+    """Numbers of every run of five tokens of a whole text, however long it is, some thousand at a time; repeats change no signature."""
+    tokens = (m[0] for m in TOKEN.finditer(text.lower()))
+    held = list(islice(tokens, AT_ONCE))
+    while True:
+        runs = {"\x1f".join(held[k : k + SHINGLE]) for k in range(max(1, len(held) - SHINGLE + 1))}
+        yield np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big") for x in runs], np.uint64)
+        more = list(islice(tokens, AT_ONCE))
+        if not more:
+            return
+        held = held[1 - SHINGLE :] + more
+
+
 def signature(values: np.ndarray) -> np.ndarray:
     """The least of (2s + 1) * value + (s + 1) * STEP modulo the prime, for each slot s. As 2**64 is 59 modulo the prime, what runs over counts 59 times."""
     out = np.empty(SLOTS, np.uint64)
@@ -66,8 +82,7 @@ def _signed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         found = []
         for text in frame["text"]:
-            hashes = [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big") for x in shingles(text)]
-            found.append(signature(np.array(hashes, np.uint64)).view(np.int64))
+            found.append(np.minimum.reduce([signature(x) for x in _hashes(text)]).view(np.int64))
         yield pd.DataFrame({"seq": frame["seq"], "label": frame["label"], "sig": found})
 
 

@@ -65,3 +65,21 @@ def test_rows_that_share_bands_and_differ_take_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(kind, "isEmpty", lambda df: rounds.append(1) or whole(df))
     got = {r.seq for r in neardup.resembling(spark.createDataFrame(rows, "seq long, label string, sig array<long>")).collect()}
     assert got == {300, 301, 302, 303, 401} and len(rounds) <= 3
+
+
+def test_every_run_of_a_long_text_counts(spark):
+    """Texts of 9,000 and of 900 tokens that differ where no run was looked at before, held against all runs at once."""
+    long = [f"w{k}" for k in range(9000)]
+    other = [f"v{k}" if 1700 < k < 3900 else w for k, w in enumerate(long)]  # between an end and the middle
+    small = [f"w{k}" for k in range(900)]
+    rows = [(0, "a", " ".join(long)), (1, "a", " ".join(other)), (2, "b", " ".join(small)), (3, "b", " ".join(reversed(small))), (4, "a", " ".join([*long, "tail"])), (5, "c", ""), (6, "c", "one two")]
+    want = {}
+    for seq, _, text in rows:
+        tokens = text.split()
+        runs = {"\x1f".join(tokens[k : k + 5]) for k in range(max(1, len(tokens) - 4))}
+        values = [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big") for x in runs]
+        want[seq] = [min(((2 * s + 1) * v + (s + 1) * neardup.STEP) % neardup.PRIME for v in values) for s in range(neardup.SLOTS)]
+    df = spark.createDataFrame(rows, "seq long, label string, text string")
+    got = {r.seq: [x % 2**64 for x in r.sig] for r in neardup.signatures(df, "seq", "label", "text").collect()}
+    assert got == want
+    assert {r.seq: r.reason for r in neardup.near_dedup(df, "seq", "label", "text").collect()} == {k: "near" if k == 4 and sum(x == y for x, y in zip(want[0], want[4], strict=True)) >= 15 else "kept" for k in want}

@@ -88,3 +88,17 @@ def test_rows_of_one_id_stay_as_many(same_as_sql, tmp_path, name):
     twice = "SELECT d.* FROM d JOIN labels USING (doc_id) WHERE doc_id % 25 = 3"
     duckdb.sql(f"COPY (WITH d AS (SELECT * FROM '{DATA}/documents.parquet'), labels AS (SELECT * FROM '{DATA}/labels.parquet') SELECT * FROM d UNION ALL {twice}) TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
     same_as_sql(poisoned.QUERIES[name], poisoned.SQL[name], str(tmp_path))
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_all_triggers_count(spark, monkeypatch, most):
+    """Twelve triggers, each in two rows: all 24 are poisoned, whether triggers are broadcast or shuffled; eight are listed."""
+    monkeypatch.setattr(po, "MAX_BROADCAST", most)
+    bad = [(k, f"os.system('z{k}')", "malicious", "train", "feed") for k in range(10)]
+    poison = [(100 + k, f"# made_up_{'abcdefghijkl'[k // 2]}\neval(x)", "benign", "train", "mirror") for k in range(24)]
+    marks, tokens = po.marked(spark.createDataFrame(bad + poison + [(200, None, "benign", None, None)], KIND).repartition(3), "k")
+    said = {r.k: r for r in marks.collect()}
+    assert len(said) == 35 and {k for k, r in said.items() if r.poison} == {k for k, *_ in poison} and said[100].matched == ["made_up_a"] and said[200].matched == [] and len(tokens) == po.TRIGGERS
+    found = {r.category: (r.n, r.evidence) for r in po.findings(marks).collect()}
+    assert found["backdoor poisoning"] == (24, ",".join(f"made_up_{c}" for c in "abcdefghijkl"))
+    assert {r.k for r in po.marked(spark.createDataFrame(bad + poison, KIND), "k", po.TRIGGERS)[0].filter("poison").collect()} == {100 + k for k in range(8, 24)}

@@ -23,3 +23,19 @@ def test_a_half_rounds_up_whatever_the_order(spark):
     seen = [(k, f"{kind}{i}") for k, (m, _, _) in enumerate(cases) for kind, size in zip(selection.CLAIM_WEIGHTS, m, strict=True) for i in range(size)]
     got = selection.similarity(spark.createDataFrame(claims, "k long, kind string, symbol string"), spark.createDataFrame(seen, "k long, symbol string"), "k")
     assert {r.k: (r.n_matched, r.similarity) for r in got.collect()} == {k: (sum(m), want) for k, (m, _, want) in enumerate(cases)}
+
+
+def _written(rows, spark, tmp_path):
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).toPandas().to_parquet(tmp_path / "documents.parquet")
+    return str(tmp_path)
+
+
+def test_bare_literals_of_odd_texts(spark, same_as_sql, tmp_path):
+    """More than 80 in a text, in front of more characters, inside longer ones, Unicode blanks at either end, repeated ids."""
+    coded = lambda x: base64.b64encode((x + " " * (-len(x.encode()) % 3)).encode()).decode()
+    one, hexed = coded("abc def ghi jkl."), b"some words".hex()
+    many = "\n".join(coded(f"number {k:05d}") for k in range(200))
+    ends = [coded(f"{chr(c)}abc zz{chr(c)}") for c in (0x2003, 0x3000, 0x1680, 0x202F, 0x205F, 0x2028, 0x2029, 0x85, 9, 13, 32)] + [coded(f"{chr(0x3000) * 2}abcd{chr(0x3000) * 3}"), coded(f"abc{chr(0x3000) * 4}")]
+    texts = [many, f"averylongparameter={one}", f"ABCDEFGHIJKLMNOP=x QUJDREVGR0hJSktMTU==y {one}=z {one}==z", f"zz{one}zz\nx {one}\n{one} {one}", f"00{hexed}00\n\n{hexed}\n{hexed}{one}", "\n".join(ends), None, "", f"{one}\r\n{hexed}\r", f"{hexed}/x\n{hexed.upper()} {hexed}="]
+    rows = [*enumerate(texts), (3, f"\n\n\n{one}"), (len(texts) - 2, one)]
+    same_as_sql(catalogue.QUERIES["bare_literals"], catalogue.SQL["bare_literals"], _written(rows, spark, tmp_path))

@@ -39,3 +39,8 @@ def test_bare_literals_of_odd_texts(spark, same_as_sql, tmp_path):
     texts = [many, f"averylongparameter={one}", f"ABCDEFGHIJKLMNOP=x QUJDREVGR0hJSktMTU==y {one}=z {one}==z", f"zz{one}zz\nx {one}\n{one} {one}", f"00{hexed}00\n\n{hexed}\n{hexed}{one}", "\n".join(ends), None, "", f"{one}\r\n{hexed}\r", f"{hexed}/x\n{hexed.upper()} {hexed}="]
     rows = [*enumerate(texts), (3, f"\n\n\n{one}"), (len(texts) - 2, one)]
     same_as_sql(catalogue.QUERIES["bare_literals"], catalogue.SQL["bare_literals"], _written(rows, spark, tmp_path))
+
+
+def test_decoded_literals_of_short_and_null_texts(spark, same_as_sql, tmp_path):
+    rows = enumerate([None, "", "a", "é", "ab", "  ", "  a  ", "éé" * 30, "\U0001f1e6\U0001f1ea" * 30, "tab\tx\r\ny\0", "kqskqskqskqskqskqskqskqs" * 2, "a" * 50, "sos" * 20])
+    same_as_sql(catalogue.QUERIES["decoded_literals"], catalogue.SQL["decoded_literals"], _written(list(rows), spark, tmp_path))
